@@ -64,7 +64,8 @@ def gram_weights(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_i
     """
     marked = target_ids.select(F.col("doc_id").alias(f"{_T}id")).where(F.col(f"{_T}id").isNotNull()).distinct().withColumn(f"{_T}t", F.lit(1))
     rows = docs.select(F.col(doc_id).alias(f"{_T}d"), F.col(text).alias(f"{_T}x"))
-    rows = rows.join(marked, F.col(f"{_T}d") == F.col(f"{_T}id"), "left")
+    # a merge join at every size: how much is moved must not depend on how many labels there are
+    rows = rows.join(marked.hint("merge"), F.col(f"{_T}d") == F.col(f"{_T}id"), "left")
     # explode_outer: explode() makes Catalyst infer a size filter that copies the hashing into itself
     rows = with_hashes(rows, f"{_T}x", buckets).select(F.coalesce(f"{_T}t", F.lit(0)).alias("t"), F.explode_outer(f"{_T}grams").alias("b"))
     counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
