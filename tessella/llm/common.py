@@ -29,16 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"/tmp/checkpoints/{os.getuid()}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the tasks that it ran, never the
     steps before the written table. The folders go when the session's Python
-    process ends.
+    process ends. Tables of a few narrow rows are better left uncompressed: a
+    codec's direct buffers for each of many small files outweigh them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append(path)

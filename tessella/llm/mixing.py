@@ -33,7 +33,7 @@ from tessella.llm.common import materialise, word_array
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BLOCK = 32
+BLOCK = 512
 SCALE = 1 << 16
 SEED = 20240601
 
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
     # the texts are read once; what follows works on these narrow rows
-    sized = materialise(sized.withColumn("item", F.xxhash64(F.lit(SEED), "doc_id", F.coalesce("source", F.lit("\0null")), "size")), "mix-sizes")
+    sized = materialise(sized.withColumn("item", F.xxhash64(F.lit(SEED), "doc_id", F.coalesce("source", F.lit("\0null")), "size")), "mix-sizes", "none")
     targets = source_targets(sized, weights, share, cap)
     key = F.col("source").eqNullSafe(F.col("t_source"))
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n_rows")
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
             _fold(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(-1 - level), "item").alias("o"), F.col("item").alias("id"), "full", "mass"))), lambda x: F.struct(x["id"].alias("id"), x["full"].alias("full"), x["mass"].alias("mass")))).alias("f"),
             F.first("n").alias("n"),
         )
-        folded = materialise(folded.select("source", "n", "f.open", "f.ones"), f"mix-level{level}")
+        folded = materialise(folded.select("source", "n", "f.open", "f.ones"), f"mix-level{level}", "none")
         ones.append(folded.select("source", F.explode("ones").alias("item")))
         items = folded.where("open is not null").select("source", F.col("open.id").alias("item"), F.col("open.full").alias("full"), F.col("open.mass").alias("mass"), "n")
         if last:
