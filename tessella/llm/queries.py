@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import jaccard_join, licences, mixing, packing, quality_model, quality_rules, secrets, vector_search
+from tessella.llm import chat_format, jaccard_join, licences, mixing, packing, quality_model, quality_rules, secrets, vector_search
 from tessella.sources.tables import table
 
 
@@ -29,6 +29,21 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    out = chat_format.read_back(chat_format.format_turns(chat_format.canonical(rows.unionByName(more))))
+    return out.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        chat_format.digest(F.col("read_turns")).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -64,6 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_chat_format": op2_chat_format,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
