@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, jaccard_join, licences, mixing, packing, quality_model, quality_rules, secrets, vector_search
+from tessella.llm import chat_format, jaccard_join, licences, mixing, packing, quality_model, quality_rules, repeats, secrets, vector_search
 from tessella.sources.tables import table
 
 
@@ -48,6 +48,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
@@ -81,6 +85,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_repeat_removal": op4_repeat_removal,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_license_scan": op7_license_scan,
