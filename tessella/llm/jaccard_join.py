@@ -312,4 +312,18 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the smallest id.
+
+    Rows without an id stay. Of rows with equal ids one stays.
+    """
+    linked = link(docs, doc_id=doc_id, text=text)
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__tessella_gone")).distinct()
+    left = docs.join(gone, F.col(doc_id) == F.col("__tessella_gone"), "left_anti")
+    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count()
+    if ids.where("count > 1").isEmpty():
+        return left
+    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(doc_id).isNull()))
+
+
 portable(__name__)

@@ -60,6 +60,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return per.select("source", "source_size", "n_rows", target.alias("target"))
 
 
+def _item(doc_id: Column, source: Column, size: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), doc_id, F.coalesce(source, F.lit("\0null")), size)
+
+
 def _unit(*cols: Column) -> Column:
     """A uniform value below 2**52 from a hash."""
     return F.pmod(F.xxhash64(F.lit(SEED), *cols), F.lit(1 << 52).cast("long"))
@@ -102,7 +106,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
     # the texts are read once; what follows works on these narrow rows
-    sized = materialise(sized.withColumn("item", F.xxhash64(F.lit(SEED), "doc_id", F.coalesce("source", F.lit("\0null")), "size")), "mix-sizes", "none")
+    sized = materialise(sized.withColumn("item", _item(F.col("doc_id"), F.col("source"), F.col("size"))), "mix-sizes", "none")
     targets = source_targets(sized, weights, share, cap)
     key = F.col("source").eqNullSafe(F.col("t_source"))
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n_rows")
@@ -138,4 +142,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     up = up.select(F.col("item").alias("up_item"), F.lit(1).cast("long").alias("up"))
     out = rows.join(up, F.col("item") == F.col("up_item"), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "item", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies."""
+    mixed = mix(docs, doc_id=doc_id, text=text, source=source, **options)
+    # alike rows are one item, so the texts meet a row per item; the hash spreads a hot source
+    taken = mixed.where("copies > 0").groupBy(F.col("item").alias("__tessella_taken")).agg(F.max("copies").alias("__tessella_copies"))
+    item = _item(F.col(doc_id), F.col(source), F.size(word_array(F.col(text))).cast("long"))
+    rows = docs.withColumn("__tessella_item", item).join(taken, F.col("__tessella_item") == F.col("__tessella_taken"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__tessella_copies"))).alias("__tessella_copy")).drop("__tessella_copy")

@@ -153,3 +153,12 @@ def judge(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", tex
     out = out.withColumn("llr", F.when(F.size(g) > 0, total / F.size(g)).otherwise(F.lit(0.0)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     return out.drop(*[c for c in out.columns if c.startswith(_T)])
+
+
+def keep(docs: DataFrame, target_ids: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns."""
+    judged = judge(docs, target_ids, **options)
+    # not deterministic in name only: else Catalyst pushes the filter below the
+    # projections and copies the hashing into it, once per use and per word
+    held = judged.withColumn("__tessella_kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return held.where("__tessella_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

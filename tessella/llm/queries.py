@@ -76,11 +76,16 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces with the digest of their ids."""
+    out = packing.pack(docs, vocabulary())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,

@@ -160,4 +160,14 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.withColumn("found", run(F.when(F.col(text).rlike(CHANCE), F.col(text))))
 
 
+def cleaned(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with every found span replaced and the length column set anew."""
+    found = scan(docs, text=text)
+    new = found.withColumn(text, F.coalesce(F.col("found.redacted"), F.col(text)))
+    if n_chars in docs.columns:
+        kind = docs.schema[n_chars].dataType
+        new = new.withColumn(n_chars, F.when(F.col("found.redacted").isNotNull(), F.length("found.redacted").cast(kind)).otherwise(F.col(n_chars)))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 portable(__name__)
