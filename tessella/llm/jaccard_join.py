@@ -24,10 +24,13 @@ the level below.
 
 Scale. Documents with equal sets are one class from the start. A class spreads
 over about a third as many keys as it has shingles, so a group of copies that
-holds a third of all rows is dealt over many keys. Groups are never expanded
-into all pairs: every round pairs each group's members with a few pivots only,
-verified links contract the components, and a group leaves as soon as it lies in
-one component; pivots move on until each pair across components was tried.
+holds a third of all rows is dealt over many keys. Within a group pairs are never
+emitted wholesale: Hamming distances of full bit sketches (as many bits as the
+set has shingles) bound the symmetric difference from below and rule out what
+cannot link before anything leaves the task. Of the rest, three rounds verify
+each set with one leader of its group, then just enough pairs to join what is
+still apart, and at last every pair that is still apart and may link; so no link
+that matters to a component is lost, and links inside a component are not listed.
 
 Edge cases: texts with 1 to 3 words have one shingle, the whole sequence; null,
 empty and blank texts have an empty set and link with nothing. Rows with equal
@@ -56,8 +59,6 @@ PERCENT = 85
 SEEDS = 4
 #: Spare blocks beyond the pigeonhole's need; more make fewer sets unsafe.
 SPARE = 4
-#: From round to round the number of a group's pivots grows by this factor.
-GROWTH = 4
 
 
 def band_edges(most: int, percent: int = PERCENT) -> list[int]:
@@ -176,12 +177,100 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[new][owner])], names=["key", "rep"])
 
 
+def bit_sketch(values: np.ndarray) -> bytes:
+    """Parity bits of a set: each hash flips one of at least as many bits as the set has members."""
+    bits = max(64, 1 << (len(values) - 1).bit_length())
+    flips = np.bincount((mix(values, 77) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest one's size."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        w = np.frombuffer(x, np.uint64)
+        while len(w) * 8 > size:  # the parity of both halves is the parity sketch of half the size
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
+def _close(words: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the others may link with set i, and their Hamming distances."""
+    far = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+    both = sizes[others] + sizes[i]
+    low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+    # linked sets differ in at most (100 - P) / (100 + P) of their sizes' sum, and the distance is never more than that
+    return (far * (100 + PERCENT) <= both * (100 - PERCENT)) & (low * 100 >= high * PERCENT), far
+
+
+def _leaders(rep: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each set with the closest leader that may link with it; others become leaders."""
+    leaders: list[int] = []
+    for i in range(len(rep)):
+        if leaders:
+            at = np.array(leaders)
+            good, far = _close(words, sizes, i, at)
+            if good.any():
+                yield int(rep[at[np.argmin(np.where(good, far, 1 << 40))]]), int(rep[i])
+                continue
+        leaders.append(i)
+
+
+def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs across components that may link: all, or just enough to join what they can join."""
+    parent = {c: c for c in set(comp.tolist())}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for i in range(1, len(rep)):
+        before = np.flatnonzero(comp[:i] != comp[i])
+        good, far = _close(words, sizes, i, before)
+        for j in before[good][np.argsort(far[good], kind="stable")].tolist():
+            if forest:
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a == b:
+                    continue
+                parent[a] = b
+            yield int(rep[j]), int(rep[i])
+
+
+def _group_pairs(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each key's sets, from rows sorted by key and set."""
+    import itertools
+
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "rep", "comp", "n", "sketch")), strict=True))
+    told: set[tuple[int, int]] = set()
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        _, rep, comp, n, sketch = zip(*group, strict=True)
+        if len(rep) < 2:
+            continue
+        reps, comps, sizes, words = np.array(rep), np.array(comp), np.array(n), _folded(list(sketch))
+        told.update(_leaders(reps, words, sizes) if mode == "leaders" else _across(reps, comps, words, sizes, mode == "forest"))
+        if len(told) > 1 << 16:
+            yield _pair_batch(told)
+            told = set()
+    if told:
+        yield _pair_batch(told)
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets in _sets(batch):
             values, sizes, _, _ = _digest(sets)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(sets)), lists], names=["rep", "shingles"])
+            sketches = pa.array([bit_sketch(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(sets)), pa.array(sizes), sketches, lists], names=["rep", "n", "sketch", "shingles"])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,30 +309,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = (key[-1], rep[-1]), last_out
 
 
-def _pivot_pairs(batches: Iterator[pa.RecordBatch], skip: int, pivots: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's pivots with its later members of other components.
-
-    Rows come sorted by key and set. Of each group only the pivots are held.
-    """
-    now, at, pr, pc = None, 0, [], []
-    for b in batches:
-        key, rep, comp = (b.column(c).to_numpy() for c in ("key", "rep", "comp"))
-        lo, hi = [], []
-        for k, r, c in zip(key.tolist(), rep.tolist(), comp.tolist(), strict=True):
-            if k != now:
-                now, at, pr, pc = k, 0, [], []
-            for p, q in zip(pr, pc, strict=True):
-                if q != c:
-                    lo.append(p)
-                    hi.append(r)
-            if skip <= at < skip + pivots:
-                pr.append(r)
-                pc.append(c)
-            at += 1
-        if lo:
-            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         xa, na = _flat(b.column("sa"))
@@ -273,7 +338,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     digest = classes.select(F.col("d1"), F.col("rep").alias("id"))
     groups = materialise(shared.join(digest, shared.rep == digest.d1).select("key", F.col("id").alias("rep")).distinct(), "jaccard-groups")
     wanted = groups.select(F.col("rep").alias("wanted")).distinct()
-    members = materialise(base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(_members, "rep long, shingles array<long>"), "jaccard-members")
+    members = materialise(base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(_members, "rep long, n long, sketch binary, shingles array<long>"), "jaccard-members")
 
     # an id with several texts ties their classes together; usually there is none
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
@@ -281,31 +346,21 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     low = own.groupBy(F.col("doc_id").alias("o")).agg(F.min("rep").alias("a"))
     found = materialise(own.join(low, F.col("doc_id") == F.col("o")).where("rep <> a").select("a", F.col("rep").alias("b")), "jaccard-ties")
     labels = connect(found)
-    pivots = 1
-    skip = 0
-    while True:
+    sketched = members.select(F.col("rep").alias("id"), "n", "sketch")
+    # first sets meet leaders of their groups; then what is left apart meets across
+    # components, at first only as far as needed to join them, at last completely
+    for mode in ("leaders", "forest", "all"):
         tagged = groups.join(labels, groups.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
-        spread = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > skip + 1)).select("key")
-        open_groups = materialise(tagged.join(spread, "key", "left_semi"), "jaccard-open")
-        if open_groups.isEmpty():
-            break
-        start = skip
-        pairs = (
-            open_groups.repartition("key")
-            .sortWithinPartitions("key", "rep")
-            .mapInArrow(lambda it, s=start, p=pivots: _pivot_pairs(it, s, p), "a long, b long")
-            .distinct()
-        )
-        pairs = pairs.where("a < b")
+        spread = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("open_key"))
+        open_rows = tagged.join(spread, F.col("key") == F.col("open_key"), "left_semi")
+        full_rows = open_rows.join(sketched, F.col("rep") == F.col("id")).select("key", "rep", "comp", "n", "sketch")
+        pairs = full_rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda it, m=mode: _group_pairs(it, m), "a long, b long").distinct()
         left = members.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         right = members.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        full = pairs.join(left, "a").join(right, "b").where((F.size("sa") * 100 >= F.size("sb") * PERCENT) & (F.size("sb") * 100 >= F.size("sa") * PERCENT))
+        full = pairs.join(left, "a").join(right, "b")
         verified = materialise(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "jaccard-links")
         found = found.unionByName(verified)
         labels = connect(found)
-        groups = open_groups.select("key", "rep")
-        skip += pivots
-        pivots *= GROWTH
     classed = classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("label", "rep").alias("comp"))
     out = digests.join(classed, (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
