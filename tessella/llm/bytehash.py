@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from tessella.llm.common import portable
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(7))

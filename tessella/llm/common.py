@@ -59,6 +59,15 @@ def _clean() -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Hand texts to Python in smaller batches than Spark's default, unless the
+    session has chosen a size: the default's 10,000 long texts are too much for
+    several Python workers beside one executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def portable(module_name: str) -> None:
     """Let functions of a module travel to executors that lack the repository."""
     import sys

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytehash
-from tessella.llm.common import portable
+from tessella.llm.common import bounded_batches, portable
 
 SIZE = 1024
 END = 0
@@ -192,6 +192,7 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     broadcasts its content. ``ids`` are little-endian 32-bit. The sequence size
     is a power of two.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -209,7 +210,7 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
                 ids = np.concatenate([encode(t.as_py() or ""), tail])
                 packer.add(i, ids)
                 held += len(ids)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield packer.batch()
                     held = 0
             yield packer.batch()
