@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bytehash
 from tessella.llm.bytehash import LOWER, mix
-from tessella.llm.common import materialise, portable
+from tessella.llm.common import bounded_batches, materialise, portable
 from tessella.llm.components import connect
 
 WORDS = 4
@@ -326,6 +326,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = materialise(base.mapInArrow(_digests, "doc_id long, n long, d1 long, d2 long"), "jaccard-sets")
     known = digests.where("n > 0 and doc_id is not null")
