@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessella.plans import documents, fields, orders
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = documents.QUERIES | fields.QUERIES | orders.QUERIES
+ORACLES = documents.ORACLES | fields.ORACLES | orders.ORACLES
