@@ -28,7 +28,7 @@ holds a third of all rows is dealt over many keys. Within a group pairs are neve
 emitted wholesale: Hamming distances of full bit sketches (as many bits as the
 set has shingles) bound the symmetric difference from below and rule out what
 cannot link before anything leaves the task. Of the rest, three rounds verify
-each set with one leader of its group, then just enough pairs to join what is
+each set with a leader of the groups of its smallest keys, then just enough pairs to join what is
 still apart, and at last every pair that is still apart and may link; so no link
 that matters to a component is lost, and links inside a component are not listed.
 
@@ -59,6 +59,8 @@ PERCENT = 85
 SEEDS = 4
 #: Spare blocks beyond the pigeonhole's need; more make fewer sets unsafe.
 SPARE = 4
+#: Keys of each set that the first round of verification looks at.
+FIRST_KEYS = 2
 
 
 def band_edges(most: int, percent: int = PERCENT) -> list[int]:
@@ -350,8 +352,12 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     sketched = members.select(F.col("rep").alias("id"), "n", "sketch")
     # first sets meet leaders of their groups; then what is left apart meets across
     # components, at first only as far as needed to join them, at last completely
+    # the smallest keys of a set are a min-hash of its keys: copies share them, so the
+    # first round looks only there, and the later rounds at every group
+    firsts = groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("keys")).select("rep", F.explode("keys").alias("key"))
     for mode in ("leaders", "forest", "all"):
-        tagged = groups.join(labels, groups.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
+        seen = firsts if mode == "leaders" else groups
+        tagged = seen.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
         spread = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("open_key"))
         open_rows = tagged.join(spread, F.col("key") == F.col("open_key"), "left_semi")
         full_rows = open_rows.join(sketched, F.col("rep") == F.col("id")).select("key", "rep", "comp", "n", "sketch")
