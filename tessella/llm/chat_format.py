@@ -41,6 +41,8 @@ TURN, BODY, END = CONTROL[:3]
 _REST = "|".join(sorted({"".join(f"\\{c}" if not c.isalnum() else c for c in s[1:]) for s in CONTROL}, key=len, reverse=True))
 _ESCAPE = rf"([<\[])(?=\\*(?:{_REST}))"
 _UNESCAPE = rf"([<\[])\\(?=\\*(?:{_REST}))"
+#: The same for engines without lookahead: the rest is consumed and put back.
+ESCAPE_CONSUMING = rf"([<\[])(\\*(?:{_REST}))"
 
 TURNS = "array<struct<role:string,text:string>>"
 

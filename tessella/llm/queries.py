@@ -99,4 +99,41 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = "regexp_replace({0}, '" + chat_format.ESCAPE_CONSUMING + "', '\\1\\\\\\2', 'g')"
+_TURNS = """t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+
+
+def _licence_sql() -> str:
+    """Both cuts, the sentence table and the rules, with the end marks made explicit."""
+    known = ", ".join(f"'{s}'" for s in licences.SENTENCES.values())
+    ids = ", ".join(f"'{s}': '{k}'" for k, s in licences.SENTENCES.items())
+    ended = "regexp_replace(text, '([.!?;:])\\s+', '\\1' || chr(1), 'g')"
+
+    def cut(more: str) -> str:
+        marked = f"regexp_replace({ended}, '{more}', chr(1), 'g')"
+        clean = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+        found = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {clean}), lambda y: list_contains([{known}], y))"
+        return f"list_transform({found}, lambda z: (MAP {{{ids}}})[z])"
+
+    def rule(name: str, wanted) -> str:
+        pattern = ".*".join(f"\\|{x}\\|" for x in wanted)
+        return f"CASE WHEN regexp_matches(sa, '{pattern}') OR regexp_matches(sb, '{pattern}') THEN '{name}' END"
+
+    hits = ", ".join(rule(n, r) for n, r in licences.RULES)
+    return f"""WITH c AS (SELECT doc_id, {cut("\\n")} AS a, {cut("\\n\\s*\\n")} AS b FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT *, '|' || array_to_string(a, '||') || '|' AS sa, '|' || array_to_string(b, '||') || '|' AS sb FROM c)
+SELECT doc_id, greatest(len(a), len(b))::BIGINT AS n_sentences, array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda h: h IS NOT NULL))), ',') AS licences FROM s"""
+
+
+#: SQL cannot say a trained model, 64-bit hashed counts, hashed rounding, connected
+#: components, byte strings at every offset within reasonable time, match offsets or a
+#: tokenizer; those queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat_format": f"""WITH {_TURNS} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len(chat_format.TURN + chat_format.BODY + chat_format.END)})::BIGINT AS formatted_chars FROM t GROUP BY 1""",
+    "op7_license_scan": _licence_sql(),
+    "op9_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5""",
+}
