@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 PAGES = "document_id string, pdf_page int, text string, has_images boolean"
 
 DOCUMENTS = (
@@ -29,3 +32,10 @@ CORRECTIONS = (
 )
 
 DECISIONS = "document_id string, field_name string, document_layer string, run_id string, edit_seq long, review_status string, note string"
+
+
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` in the columns and types of a schema; what is missing is null, what is
+    not in it goes."""
+    kinds = [x.strip().split(" ", 1) for x in schema.split(", ")]
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds])
