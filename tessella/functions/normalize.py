@@ -83,8 +83,10 @@ def _parse_date(text: Column) -> Column:
     """ISO text of a date in one of the known formats."""
     bare = F.regexp_replace(text, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
     spaced = collapse(F.replace(bare, F.lit(","), F.lit(", ")))
-    tries = [F.try_to_date(c, f) for f in DATE_FORMATS for c in (spaced, F.replace(spaced, F.lit(", "), F.lit(" ")))]
-    return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
+    forms = F.array(spaced, F.replace(spaced, F.lit(", "), F.lit(" ")))
+    # a lambda, so that the text is prepared once and not once per format
+    parsed = F.transform(forms, lambda c: F.coalesce(*[F.try_to_date(c, f) for f in DATE_FORMATS]))
+    return F.date_format(F.get(F.filter(parsed, lambda d: d.isNotNull()), F.lit(0)), "yyyy-MM-dd")
 
 
 def date(raw: Column) -> Column:
