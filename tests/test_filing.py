@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import cli, schemas
-from tessella.operators import compare, filing
+from tessella.operators import compare, filing, readings
 from tessella.sources import store
 from tessella.streaming import files
 
@@ -73,3 +73,12 @@ def test_file_stream(spark, tmp_path):
     query = files.arriving(spark, str(folder)).drop("content").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select(F.count_distinct("checksum"), F.count("*")).first()[:] == (2, 2)
+
+
+def test_token_totals_and_absences(spark):
+    runs = spark.createDataFrame([("d", "r", 10, 2, 3, 4), ("d", "r", 1, 1, 1, 1)], "document_id string, run_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long")
+    assert readings.token_totals(runs).first()["billed_input_tokens"] == 20
+    rows = spark.createDataFrame([("d", "a", "not_found", ["x"]), ("d", "a", "found", []), ("d", "b", "not_found", None)], "document_id string, document_layer string, status string, notes array<string>")
+    blind = spark.createDataFrame([("d", "a", 4), ("d", "a", 2)], "document_id string, qualified_id string, pdf_page int")
+    got = {(r["document_layer"], r["status"]): r["notes"] for r in readings.qualify_absences(rows, blind).collect()}
+    assert "2, 4" in got["a", "not_found"][1] and got["a", "found"] == [] and got["b", "not_found"] is None
