@@ -14,7 +14,8 @@ never a finding.
 
 Edge cases: null and empty texts have no sentences and no licences. Repeated
 sentences are listed once per occurrence; a licence is listed once per document.
-Extra columns are carried through. An empty table gives an empty result.
+Extra columns are carried through, one named like
+a result is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

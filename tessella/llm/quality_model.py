@@ -15,7 +15,8 @@ Edge cases: null text counts as empty; an empty text has only structure and is
 scored from that. Labels without a matching document, null labels and null ids
 are not used. Without usable labels every score is 0.5; with one class only it
 is near that class. Repeated rows get equal scores. Extra columns are carried
-through. An empty table gives an empty result.
+through, one named like the result is replaced. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ floats (a scalar subquery of fixed size), so scoring is a projection over the
 scan without any shuffle.
 
 Edge cases: null text counts as empty; an empty text has no words, fails the
-base rule and scores 0. Extra columns are carried through untouched. A repeated
-row is scored like any other row.
+base rule and scores 0. Extra columns are carried through; one that is named like
+a result of ``judge`` is replaced there, and kept by ``keep``. A repeated row is
+scored like any other row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def gram_weights(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_i
             (F.col("n_raw") > 0) & (F.col("n_target") > 0),
             F.transform("e", lambda x: F.log(smooth(x["target"], F.col("n_target")) / smooth(x["raw"], F.col("n_raw"))).cast("float")),
         )
-        .otherwise(F.array_repeat(F.lit(0.0).cast("float"), buckets))
+        .otherwise(F.transform("e", lambda x: F.lit(0.0).cast("float")))  # not a literal of that many elements in every plan
         .alias("w")
     )
 
@@ -155,10 +156,11 @@ def judge(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", tex
     return out.drop(*[c for c in out.columns if c.startswith(_T)])
 
 
-def keep(docs: DataFrame, target_ids: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    judged = judge(docs, target_ids, **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    judged = judge(rows, target_ids, **options)
     # not deterministic in name only: else Catalyst pushes the filter below the
     # projections and copies the hashing into it, once per use and per word
-    held = judged.withColumn("__tessella_kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return held.where("__tessella_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("held"))
+    return held.where("held").select("row.*")

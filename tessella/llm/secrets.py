@@ -141,9 +141,9 @@ RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", result: str = "found") -> DataFrame:
     """``docs`` with a struct ``found`` of counts, digest, spans and redacted text
-    (null where nothing was found)."""
+    (null where nothing was found). A column of that name is replaced."""
 
     bounded_batches(docs.sparkSession)
     @F.pandas_udf(RESULT)
@@ -158,16 +158,16 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
             rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), redact(t, every) if every else None))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
 
-    return docs.withColumn("found", run(F.when(F.col(text).rlike(CHANCE), F.col(text))))
+    return docs.withColumn(result, run(F.when(F.col(text).rlike(CHANCE), F.col(text))))
 
 
 def cleaned(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with every found span replaced and the length column set anew."""
-    found = scan(docs, text=text)
-    new = found.withColumn(text, F.coalesce(F.col("found.redacted"), F.col(text)))
+    redacted = F.col("__tessella_found.redacted")
+    new = scan(docs, text=text, result="__tessella_found").withColumn(text, F.coalesce(redacted, F.col(text)))
     if n_chars in docs.columns:
         kind = docs.schema[n_chars].dataType
-        new = new.withColumn(n_chars, F.when(F.col("found.redacted").isNotNull(), F.length("found.redacted").cast(kind)).otherwise(F.col(n_chars)))
+        new = new.withColumn(n_chars, F.when(redacted.isNotNull(), F.length(redacted).cast(kind)).otherwise(F.col(n_chars)))
     return new.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -310,7 +310,8 @@ def test_quality_rules(spark, docs, empty):
         assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
         assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality_rules.THRESHOLD)
     assert quality_rules.judge(empty, target).count() == 0
-    assert quality_rules.keep(docs, target).columns == docs.columns
+    left = quality_rules.keep(docs, target)
+    assert left.dtypes == docs.dtypes and {r["kept"] for r in left.collect()} == {"x"}
     nobody = quality_rules.judge(docs, target.limit(0))
     assert {r["llr"] for r in nobody.collect()} == {0.0}
 
@@ -449,7 +450,8 @@ def test_secret_links(spark, docs, empty):
     got = secrets.scan(big).select("found.*").collect()
     assert [r["n_assign"] for r in got] == [1, 0, 0] and got[0]["spans"] == "assign:400000:417"[:6] + ":400000:400017"
     assert secrets.scan(docs.drop("found")).count() == docs.count() and secrets.scan(empty.drop("found")).count() == 0
-    assert secrets.cleaned(docs).columns == docs.columns
+    clean = secrets.cleaned(docs)
+    assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
 
 
 # ---------------------------------------------------------------- 9
