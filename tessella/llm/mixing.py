@@ -4,15 +4,16 @@ Every document starts with the fractional copy count of its source (target words
 over source words, at most 2). The whole part is taken at once. The fractional
 parts are rounded in pairs: two documents exchange *words* (probability times
 size), in a random direction with unbiased odds, until one of them is at 0 or at
-1. So each exchange keeps the source's expected word count exactly, and all but
-one document per source end at a whole number of copies. The last one goes to
-its nearer side, so a source misses its target by at most half of one document.
+1. So each exchange keeps the source's expected word count exactly.
 
 Exchanges form a distributed reduction tree: documents are dealt into blocks of
 about ``BLOCK``, each block is folded in the JVM, and only its one undecided
-document goes up to the next level. A hot source just has more blocks. All
-masses are integers (``SCALE`` parts of a word), so a fold has no rounding
-error, and all random choices are hashes of ids and seed, so reruns agree.
+document goes up to the next level. A hot source just has more blocks. At the
+root, a source's last block, the largest document is paired with all smaller ones
+together, then the next, so what a source misses of its target is the rounding
+of its smallest documents there. Below the root all masses are integers
+(``SCALE`` parts of a word) and folds are exact; all random choices are hashes of
+ids and seed, so reruns agree.
 
 Edge cases: null text has size 0 and takes 0 words; null is a source of its own
 and comes last; null ids are allowed; repeated rows (equal id, source and size)
@@ -98,6 +99,39 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _root(items: Column, all_mass: Column, all_full: Column) -> Column:
+    """Ids decided as 1 in a source's last block, which leaves nothing undecided.
+
+    From the largest item down, each is paired with all smaller ones together: it
+    becomes 0 or 1 with its own odds, and the others take up the difference in
+    proportion to what they have or have room for. Their masses change by one
+    affine map of mass and size, which is the state. So only the smallest items'
+    rounding is left as an error.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(1.0).alias("a"), zero.alias("b"), all_mass.cast("double").alias("m"), all_full.cast("double").alias("f"), F.array().cast("array<bigint>").alias("ones"))
+
+    def step(s: Column, x: Column) -> Column:
+        full = x["full"].cast("double")
+        rest_m, rest_f = s["m"] - x["mass"], s["f"] - x["full"]
+        mass = F.least(F.greatest(s["a"] * x["mass"] + s["b"] * full, zero), full)
+        pool = F.greatest(s["a"] * rest_m + s["b"] * rest_f, zero)
+        room = F.greatest(rest_f - pool, zero)
+        can_up, can_down = pool >= full - mass, room >= mass
+        drawn = _unit(x["id"]).cast("double") / float(1 << 52) * full < mass
+        up = F.when(can_up & can_down, drawn).when(can_up | can_down, can_up).otherwise(mass * 2 >= full)
+        share = F.when(up, F.when(pool > 0, F.least(full - mass, pool) / pool).otherwise(zero)).otherwise(F.when(room > 0, F.least(mass, room) / room).otherwise(zero))
+        return F.struct(
+            (s["a"] * (1 - share)).alias("a"),
+            (s["b"] * (1 - share) + F.when(up, zero).otherwise(share)).alias("b"),
+            rest_m.alias("m"),
+            rest_f.alias("f"),
+            F.concat(s["ones"], F.when(up, F.array(x["id"])).otherwise(F.array().cast("array<bigint>"))).alias("ones"),
+        )
+
+    return F.aggregate(items, start, step, lambda s: s["ones"])
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for each row.
 
@@ -123,18 +157,23 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     levels = max(1, math.ceil(math.log(max(most, 2), BLOCK / 2)))
     ones = []
     for level in range(levels + 1):
-        last = level == levels
-        blocks = F.lit(1) if last else F.ceil(F.col("n") / F.lit(float(BLOCK) * (BLOCK // 2) ** level))
-        grouped = items.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item"), F.greatest(blocks.cast("long"), F.lit(1).cast("long"))))
-        folded = grouped.groupBy("source", "block").agg(
-            _fold(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(-1 - level), "item").alias("o"), F.col("item").alias("id"), "full", "mass"))), lambda x: F.struct(x["id"].alias("id"), x["full"].alias("full"), x["mass"].alias("mass")))).alias("f"),
+        blocks = F.lit(1) if level == levels else F.ceil(F.col("n") / F.lit(float(BLOCK) * (BLOCK // 2) ** level))
+        dealt = items.withColumn("blocks", F.greatest(blocks.cast("long"), F.lit(1).cast("long")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item"), F.col("blocks")))
+        # a source's only block is its root; there the largest come first, elsewhere any fixed order does
+        order = F.struct(F.when(F.col("blocks") == 1, -F.col("full")).otherwise(F.lit(0).cast("long")).alias("k"), F.xxhash64(F.lit(-1 - level), "item").alias("o"), F.col("item").alias("id"), "full", "mass")
+        grouped = dealt.groupBy("source", "block").agg(
+            F.transform(F.sort_array(F.collect_list(order)), lambda x: F.struct(x["id"].alias("id"), x["full"].alias("full"), x["mass"].alias("mass"))).alias("items"),
             F.first("n").alias("n"),
+            F.first("blocks").alias("blocks"),
+            F.sum("mass").alias("all_mass"),
+            F.sum("full").alias("all_full"),
         )
+        whole = F.struct(F.lit(None).cast("struct<id:bigint,full:bigint,mass:bigint>").alias("open"), _root(F.col("items"), F.col("all_mass"), F.col("all_full")).alias("ones"))
+        folded = grouped.withColumn("f", F.when(F.col("blocks") == 1, whole).otherwise(_fold(F.col("items"))))
         folded = materialise(folded.select("source", "n", "f.open", "f.ones"), f"mix-level{level}", "none")
         ones.append(folded.select("source", F.explode("ones").alias("item")))
         items = folded.where("open is not null").select("source", F.col("open.id").alias("item"), F.col("open.full").alias("full"), F.col("open.mass").alias("mass"), "n")
-        if last:
-            ones.append(items.where(F.col("mass") * 2 >= F.col("full")).select("source", "item"))
     up = ones[0]
     for more in ones[1:]:
         up = up.unionByName(more)

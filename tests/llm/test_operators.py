@@ -377,7 +377,7 @@ def test_mixing_meets_targets_closely(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(i, prose(rng, rng.randrange(5, 60)), f"src{min(i % 7, 3)}") for i in range(3000)], "doc_id long, text string, source string")
     out = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
-    assert all(abs(r["taken"] - r["target"]) <= 60 for r in out)
+    assert all(abs(r["taken"] - r["target"]) <= 12 for r in out)
 
 
 # ---------------------------------------------------------------- 7
