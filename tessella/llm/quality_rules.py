@@ -152,7 +152,9 @@ def judge(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", tex
     out = out.withColumn(f"{_T}w", weights.scalar())
     total = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col(f"{_T}w"), b))
     out = out.withColumn("llr", F.when(F.size(g) > 0, total / F.size(g)).otherwise(F.lit(0.0)))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # not deterministic in name only: else Catalyst pushes a filter on the verdict below
+    # the projections and copies the hashing into it, once per use and per word
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.monotonically_increasing_id() >= 0))
     return out.drop(*[c for c in out.columns if c.startswith(_T)])
 
 
@@ -160,7 +162,4 @@ def keep(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text
     """The rows of ``docs`` that the rules keep, with their own columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     judged = judge(rows, target_ids, **options)
-    # not deterministic in name only: else Catalyst pushes the filter below the
-    # projections and copies the hashing into it, once per use and per word
-    held = judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("held"))
-    return held.where("held").select("row.*")
+    return judged.where("kept").select("row.*")
