@@ -19,7 +19,6 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.adaptive.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
