@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked documents."""
-    return jaccard_join.keep(docs)
+    """Keep one document of each group linked by 5-word shingles at 0.8 or more; op3's own figures are 4 and 0.85."""
+    return jaccard_join.keep(docs, words=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its distinct 4-word shingles. Two sets link when
-``100 * |A & B| >= 85 * |A | B|``; the result names the connected components.
+A document is the set of its distinct shingles of ``words`` words (1 to 5). Two
+sets link when ``100 * |A & B| >= percent * |A | B|``; the result names the
+connected components. The defaults, 4 words and 85, are those of query op3.
 
 Method. For one level of sizes the hash space of shingles is cut into ``k``
 blocks, and a block's sketch word is the XOR of the shingle hashes that fall into
@@ -18,7 +19,7 @@ after seed up to its first safe one, so for each pair some seed has one safe
 member and both emit; sets that no seed makes safe meet on the words of the last
 seed, empty ones included, among themselves only. So no linked pair is lost.
 
-Sizes fall into bands whose edges grow by 1/0.85. A pair lies in one band or in
+Sizes fall into bands whose edges grow by ``100 / percent``. A pair lies in one band or in
 two neighbouring ones; a set emits at its own level and as the larger partner at
 the level below.
 
@@ -32,7 +33,7 @@ each set with a leader of the groups of its smallest keys, then just enough pair
 still apart, and at last every pair that is still apart and may link; so no link
 that matters to a component is lost, and links inside a component are not listed.
 
-Edge cases: texts with 1 to 3 words have one shingle, the whole sequence; null,
+Edge cases: texts with fewer words than a shingle have one, the whole sequence; null,
 empty and blank texts have an empty set and link with nothing. Rows with equal
 ids are one document that holds each of its texts: their links are united. A
 null id takes no part in linking and gets a null component. Extra columns are
@@ -99,11 +100,11 @@ def sketch_words(hashes: np.ndarray, rows: np.ndarray, blocks: np.ndarray, seed:
     return owner, s[starts] - place[owner], words, starts
 
 
-def keys_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of sets given by their concatenated hashes and their sizes: (set, key)."""
     most = int(sizes.max(initial=0))
-    edges = band_edges(max(most, 1))
-    limits = level_limits(edges)
+    edges = band_edges(max(most, 1), percent)
+    limits = level_limits(edges, percent)
     band = np.searchsorted(np.array(edges), sizes, side="right") - 1
     every = np.repeat(np.arange(len(sizes)), sizes)
     sets, keys = [], []
@@ -114,7 +115,7 @@ def keys_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if below:  # the larger partner of a set in the band below
             low = np.array(edges)[np.maximum(level, 0)]
             high = np.array(edges)[np.minimum(np.maximum(level, 0) + 1, len(edges) - 1)] - 1
-            use &= (sizes * PERCENT <= high * 100) & (low > 0)
+            use &= (sizes * percent <= high * 100) & (low > 0)
         left = use
         for seed in range(SEEDS + 1):
             if not left.any():
@@ -143,11 +144,11 @@ def keys_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(sets), np.concatenate(keys)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Shingle sets of a batch's texts: (first row, sets) chunk by chunk."""
     data, offsets = bytehash.text_bytes(batch.column("text"))
     for i, _, b, at in bytehash.chunks(data, offsets):
-        yield i, bytehash.shingles(LOWER[b], at, WORDS)
+        yield i, bytehash.shingles(LOWER[b], at, words)
 
 
 def _digest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,22 +161,22 @@ def _digest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return values, sizes, one, two
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, sets in _sets(batch):
+        for i, sets in _sets(batch, words):
             _, sizes, one, two = _digest(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(sets)), pa.array(sizes), pa.array(one), pa.array(two)], names=["doc_id", "n", "d1", "d2"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Join keys with the first digest of their set, once per batch for equal sets."""
     for batch in batches:
         seen: set[tuple[int, int]] = set()
-        for _, sets in _sets(batch):
+        for _, sets in _sets(batch, words):
             _, _, one, two = _digest(sets)
             new = [i for i, d in enumerate(zip(one.tolist(), two.tolist(), strict=True)) if d not in seen and not seen.add(d)]
             kept = [sets[i] for i in new]
-            owner, key = keys_of(np.concatenate([*kept, np.zeros(0, np.uint64)]), np.array([len(x) for x in kept], np.int64))
+            owner, key = keys_of(np.concatenate([*kept, np.zeros(0, np.uint64)]), np.array([len(x) for x in kept], np.int64), percent)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[new][owner])], names=["key", "rep"])
 
 
@@ -198,29 +199,29 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _close(words: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _close(words: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Which of the others may link with set i, and their Hamming distances."""
     far = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
     both = sizes[others] + sizes[i]
     low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
     # linked sets differ in at most (100 - P) / (100 + P) of their sizes' sum, and the distance is never more than that
-    return (far * (100 + PERCENT) <= both * (100 - PERCENT)) & (low * 100 >= high * PERCENT), far
+    return (far * (100 + percent) <= both * (100 - percent)) & (low * 100 >= high * percent), far
 
 
-def _leaders(rep: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _leaders(rep: np.ndarray, words: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Each set with the closest leader that may link with it; others become leaders."""
     leaders: list[int] = []
     for i in range(len(rep)):
         if leaders:
             at = np.array(leaders)
-            good, far = _close(words, sizes, i, at)
+            good, far = _close(words, sizes, i, at, percent)
             if good.any():
                 yield int(rep[at[np.argmin(np.where(good, far, 1 << 40))]]), int(rep[i])
                 continue
         leaders.append(i)
 
 
-def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
+def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndarray, forest: bool, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs across components that may link: all, or just enough to join what they can join."""
     parent = {c: c for c in set(comp.tolist())}
 
@@ -232,7 +233,7 @@ def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndar
 
     for i in range(1, len(rep)):
         before = np.flatnonzero(comp[:i] != comp[i])
-        good, far = _close(words, sizes, i, before)
+        good, far = _close(words, sizes, i, before, percent)
         for j in before[good][np.argsort(far[good], kind="stable")].tolist():
             if forest:
                 a, b = root(int(comp[i])), root(int(comp[j]))
@@ -242,7 +243,7 @@ def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndar
             yield int(rep[j]), int(rep[i])
 
 
-def _group_pairs(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.RecordBatch]:
+def _group_pairs(batches: Iterator[pa.RecordBatch], mode: str, percent: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each key's sets, from rows sorted by key and set."""
     import itertools
 
@@ -253,7 +254,7 @@ def _group_pairs(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.Re
         if len(rep) < 2:
             continue
         reps, comps, sizes, words = np.array(rep), np.array(comp), np.array(n), _folded(list(sketch))
-        told.update(_leaders(reps, words, sizes) if mode == "leaders" else _across(reps, comps, words, sizes, mode == "forest"))
+        told.update(_leaders(reps, words, sizes, percent) if mode == "leaders" else _across(reps, comps, words, sizes, mode == "forest", percent))
         if len(told) > 1 << 16:
             yield _pair_batch(told)
             told = set()
@@ -266,9 +267,9 @@ def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, sets in _sets(batch):
+        for i, sets in _sets(batch, words):
             values, sizes, _, _ = _digest(sets)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.view(np.int64)))
             sketches = pa.array([bit_sketch(x) for x in sets], pa.binary())
@@ -311,7 +312,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = (key[-1], rep[-1]), last_out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         xa, na = _flat(b.column("sa"))
         xb, nb = _flat(b.column("sb"))
@@ -322,26 +323,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((values, rows))
         r, v = rows[order], values[order]
         both = np.bincount(r[1:][(r[1:] == r[:-1]) & (v[1:] == v[:-1])], minlength=m) if len(r) else np.zeros(m, np.int64)
-        good = pa.array(100 * both >= PERCENT * (na + nb - both))
+        good = pa.array(100 * both >= percent * (na + nb - both))
         yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
 
 
-def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    digests = materialise(base.mapInArrow(_digests, "doc_id long, n long, d1 long, d2 long"), "jaccard-sets")
+    digests = materialise(base.mapInArrow(lambda it: _digests(it, words), "doc_id long, n long, d1 long, d2 long"), "jaccard-sets")
     known = digests.where("n > 0 and doc_id is not null")
     classes = materialise(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
     # sorted by key, a group of any size streams through; copies within a batch are one row already
-    keyed = base.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_keys, "key long, rep long")
+    keyed = base.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(lambda it: _keys(it, words, percent), "key long, rep long")
     shared = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long")
     # should two classes have equal first digests, both become candidates and verification tells them apart
     digest = classes.select(F.col("d1"), F.col("rep").alias("id"))
     groups = materialise(shared.join(digest, shared.rep == digest.d1).select("key", F.col("id").alias("rep")).distinct(), "jaccard-groups")
     wanted = groups.select(F.col("rep").alias("wanted")).distinct()
-    members = materialise(base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(_members, "rep long, n long, sketch binary, shingles array<long>"), "jaccard-members")
+    members = materialise(base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(lambda it: _members(it, words), "rep long, n long, sketch binary, shingles array<long>"), "jaccard-members")
 
     # an id with several texts ties their classes together; usually there is none
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
@@ -361,11 +362,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
         spread = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("open_key"))
         open_rows = tagged.join(spread, F.col("key") == F.col("open_key"), "left_semi")
         full_rows = open_rows.join(sketched, F.col("rep") == F.col("id")).select("key", "rep", "comp", "n", "sketch")
-        pairs = full_rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda it, m=mode: _group_pairs(it, m), "a long, b long").distinct()
+        pairs = full_rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda it, m=mode: _group_pairs(it, m, percent), "a long, b long").distinct()
         left = members.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         right = members.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         full = pairs.join(left, "a").join(right, "b")
-        verified = materialise(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "jaccard-links")
+        verified = materialise(full.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "jaccard-links")
         found = found.unionByName(verified)
         labels = connect(found)
     classed = classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("label", "rep").alias("comp"))
@@ -374,12 +375,12 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the smallest id.
 
     Rows without an id stay. Of rows with equal ids one stays.
     """
-    linked = link(docs, doc_id=doc_id, text=text)
+    linked = link(docs, doc_id=doc_id, text=text, words=words, percent=percent)
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__tessella_gone")).distinct()
     left = docs.join(gone, F.col(doc_id) == F.col("__tessella_gone"), "left_anti")
     ids = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count()

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessella.llm import bytehash, chat_format, components, jaccard_join, licences, mixing, packing, quality_model, quality_rules, queries, repeats, secrets, suffix_array, vector_search
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -193,6 +194,30 @@ def test_jaccard_join(spark):
     assert sorted(k for k in kept if k is not None) == sorted(k for k, (_, c) in want.items() if k == c) and kept.count(None) == 1
 
 
+def test_jaccard_words_and_percent(spark):
+    rng = random.Random(8)
+    texts = {}
+    for size in (3, 5, 9, 30, 46, 47, 48, 100, 240):
+        base = [f"{size}x{k}" for k in range(size)]
+        for edits in (0, 0, 1, 2, 3, 5):
+            w = list(base)
+            for k in rng.sample(range(size), min(edits, size)):
+                w[k] = f"e{rng.randrange(10_000)}"
+            texts[len(texts)] = " ".join(w)
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(df, words=5, percent=80).collect()}
+    assert got == want
+    assert got != {r["doc_id"]: r["component_id"] for r in jaccard_join.link(df).collect()}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(set(want.values()))
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
