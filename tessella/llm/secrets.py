@@ -3,9 +3,10 @@
 Plain patterns (assignments, access keys, long hex runs) are always reported.
 Beyond them, weak parts are collected: access identifiers, unlabelled secrets
 and service endpoints. A weak part alone is noise, so parts are joined as
-intervals inside scopes (blocks between blank lines, at most ``REACH`` code
-points apart): a weak candidate is reported only when complementary parts occur
-together. The join is a sorted sweep over a document's parts, linear in them.
+intervals inside scopes (blocks between blank lines, with at most ``REACH`` code
+points between them): a weak candidate is reported only when complementary parts
+occur together. Parts themselves may have any length. Each part looks up the
+nearest complementary one on either side in sorted lists.
 
 Scanning is a map over the scan without a shuffle. A pattern test in the JVM,
 which every possible finding satisfies, sends only texts with a chance of one to
@@ -37,9 +38,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts; each has one group, the part's own span.
-IDENTITY = re.compile(r"""(?:client_?id|access_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,64})""", re.ASCII | re.IGNORECASE)
-BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{32,128}={0,2})(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"""\b((?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|ftp)://[^\s"'<>]{4,256}|(?:[a-z0-9-]+\.){1,5}(?:amazonaws|azure|googleapis)\.com)""", re.ASCII)
+IDENTITY = re.compile(r"""(?:client_?id|access_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.ASCII | re.IGNORECASE)
+BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/=_-])")
+ENDPOINT = re.compile(r"""\b((?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|ftp)://[^\s"'<>]{4,})""", re.ASCII)
+#: Dotted names are read in one pass, whatever their length, and then searched for a service's domain.
+DOTTED = re.compile(r"(?<![a-z0-9-])[a-z0-9-]++(?:\.[a-z0-9-]++)+")
+DOMAIN = re.compile(r"\.(?:amazonaws|azure|googleapis)\.com")
+EDGE = re.compile(r"\b[a-z0-9-]", re.ASCII)
 
 #: JVM test that any base or reportable weak finding satisfies (weak ones need a labelled identity or an access key or endpoint).
 CHANCE = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}|client_?id|access_?id|user|login|account|://|amazonaws|azure|googleapis"
@@ -59,23 +64,41 @@ def _mixed(value: str) -> bool:
     return len(set(value)) >= 12 and bool(re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value))
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of addresses and, outside of them, of the services' host names."""
+    spans = [m.span(1) for m in ENDPOINT.finditer(text)]
+    starts = [s for s, _ in spans]
+    hosts = []
+    for name in DOTTED.finditer(text):
+        domains = list(DOMAIN.finditer(text, *name.span()))
+        first = EDGE.search(text, *name.span()) if domains else None
+        if first and first.start() < domains[-1].start():
+            s, e = first.start(), domains[-1].end()
+            i = bisect_left(starts, e) - 1
+            if i < 0 or spans[i][1] <= s:
+                hosts.append((s, e))
+    return spans + hosts
+
+
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak candidates as (part, start, end), without spans that base findings cover."""
-    starts = [s for _, s, _ in base]
-    reach = 0
-    ends = []
-    for _, _, e in base:
-        reach = max(reach, e)
-        ends.append(reach)
-
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(starts, e) - 1
-        return i < 0 or ends[i] <= s
+    """Weak candidates as (part, start, end), without spans that base findings cover whole."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def covered(s: int, e: int) -> bool:
+        i = bisect_right(starts, s) - 1
+        return i >= 0 and e <= ends[i]
 
     parts = [("identity", *m.span(1)) for m in IDENTITY.finditer(text)]
-    parts += [("endpoint", *m.span(1)) for m in ENDPOINT.finditer(text)]
+    parts += [("endpoint", s, e) for s, e in endpoints(text)]
     parts += [("secret", *m.span(1)) for m in BARE_SECRET.finditer(text) if _mixed(m[1])]
-    return sorted({p for p in parts if free(p[1], p[2])}, key=lambda p: (p[1], WEAK_KINDS.index(p[0]), p[2]))
+    return sorted({p for p in parts if not covered(p[1], p[2])}, key=lambda p: (p[1], WEAK_KINDS.index(p[0]), p[2]))
 
 
 def link(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, int, int]]:
@@ -88,28 +111,27 @@ def link(text: str, base: list[tuple[str, int, int]], weak: list[tuple[str, int,
     if not weak:
         return []
     blocks = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
-    ids = sorted([(s, e) for k, s, e in weak if k == "identity"] + [(s, e) for k, s, e in base if k == "access"])
-    secrets = sorted([(s, e) for k, s, e in weak if k == "secret"] + [(s, e) for k, s, e in base if k != "access"])
+    ids = [(s, e) for k, s, e in weak if k == "identity"] + [(s, e) for k, s, e in base if k == "access"]
+    secrets = [(s, e) for k, s, e in weak if k == "secret"] + [(s, e) for k, s, e in base if k != "access"]
+    id_edges = sorted(s for s, _ in ids), sorted(e for _, e in ids)
+    secret_edges = sorted(s for s, _ in secrets), sorted(e for _, e in secrets)
 
-    def near(parts: list[tuple[int, int]], s: int, e: int) -> bool:
+    def near(starts: list[int], ends: list[int], s: int, e: int) -> bool:
         b = bisect_right(blocks, s)
-        low = max(s - reach, blocks[b - 1] if b else 0)
-        high = min(e + reach, blocks[b] if b < len(blocks) else len(text))
-        i = bisect_left(parts, (low, -1))
-        while i < len(parts) and parts[i][0] < high:
-            if parts[i][1] <= s or parts[i][0] >= e:
-                return True
-            i += 1
-        return False
+        after = bisect_left(starts, e)
+        if after < len(starts) and starts[after] < min(e + reach, blocks[b] if b < len(blocks) else len(text)):
+            return True
+        before = bisect_right(ends, s) - 1
+        return before >= 0 and ends[before] > (blocks[b - 1] if b else 0) and ends[before] >= s - reach
 
     out = []
     for kind, s, e in weak:
         if kind == "identity":
-            linked = near(secrets, s, e)
+            linked = near(*secret_edges, s, e)
         elif kind == "secret":
-            linked = near(ids, s, e)
+            linked = near(*id_edges, s, e)
         else:
-            linked = near(ids, s, e) and near(secrets, s, e)
+            linked = near(*id_edges, s, e) and near(*secret_edges, s, e)
         if linked:
             out.append((kind, s, e))
     return out

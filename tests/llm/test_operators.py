@@ -479,6 +479,28 @@ def test_secret_links(spark, docs, empty):
     assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
 
 
+@pytest.mark.parametrize("size", [40, 128, 129, 144, 5000])
+def test_secret_parts_of_any_length(size):
+    weak = ("Ab1Cd2Ef3Gh4Ij5Kl6Mn7" * size)[:size]
+    name = ("some.one-" * size)[:size]
+    host = "x1." * size + "amazonaws.com"
+    parts = lambda t: [(k, t[s:e]) for k, s, e in secrets.find(t)[1]]
+    assert parts(f"user = {name} {weak} end") == [("identity", name), ("secret", weak)]
+    assert parts(f"{weak} user = {name}") == [("secret", weak), ("identity", name)]
+    for address in (f"https://db.example.org/{name}", host):
+        text = f"user = {name} password=hunter22 at {address} end"
+        assert ("endpoint", address) in parts(text)
+        assert secrets.redact(text, secrets.find(text)[1]) == "user = <secret> <secret> at <secret> end"
+    tail = f"https://db.example.org/{name}?token=abcdef12"
+    text = f"user = someone password=hunter22 at {tail} end"
+    assert secrets.redact(text, secrets.find(text)[1]) == "user = <secret> <secret> at <secret> end"
+
+
+def test_host_names_need_one_pass():
+    for text in ("z." * 200_000, "z-" * 200_000, "z" * 400_000, "Z" * 400_000, "z.." * 100_000):
+        assert secrets.find(f"user = someone password=hunter22 {text}")[1][-1][0] == "assign"
+
+
 # ---------------------------------------------------------------- 9
 
 
