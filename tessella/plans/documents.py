@@ -12,6 +12,8 @@ from tessella.functions import text
 from tessella.operators import layers, pages, readings, structure
 from tessella.sources.tables import table
 
+#: Words of a quote that its candidate pages must share.
+GRAM = 5
 BOUNDARY = "Licensed under|Released under|This work is licensed"
 REGIONS = (("article", r"^(?:the|der|die|la|le) ", "Starts with an article"), ("vowel", r"^[aeiou]", "Starts with a vowel"))
 SIGNATURES = (
@@ -111,6 +113,42 @@ def evidence_check(spark, sf_dir):
     return d.select("doc_id", e.alias("e")).select("doc_id", "e.anchor_intact", "e.found_on_page", "e.ok")
 
 
+def grams(words, n):
+    """Hashes of each run of n words."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    return F.array_distinct(F.when(F.size(words) >= n, runs))
+
+
+def quotes_found(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` and the evidence check for each quote (item_id, quote) that a document holds.
+
+    The words between a quote's first and last one stand whole in a page that holds
+    it, so hashes of up to ``GRAM`` of them find the candidates; each is verified.
+    Quotes of one or two words have no such inside and are searched in every page.
+    """
+    d = docs.select("doc_id", "text").withColumn("page", text.canonical(F.col("text")))
+    q = quotes.select("item_id", "quote").withColumn("needle", text.canonical(F.col("quote"))).where("needle <> ''")
+    q = q.withColumn("words", F.split("needle", " ")).withColumn("n", F.least(F.size("words") - 2, F.lit(GRAM)))
+    keyed = q.where("n > 0")
+    keys = keyed.select("item_id", "n", F.element_at(grams(F.slice("words", 2, F.col("n")), F.col("n")), 1).alias("key"))
+    sizes = keyed.select("n").distinct()
+    runs = d.select("doc_id", F.split("page", " ").alias("page_words")).join(F.broadcast(sizes), F.size("page_words") >= F.col("n"))
+    runs = runs.select("doc_id", "n", grams(F.col("page_words"), F.col("n")).alias("keys")).select("doc_id", "n", F.explode("keys").alias("key"))
+    near = runs.join(keys, ["n", "key"]).select("doc_id", "item_id")
+    brief = q.where("n <= 0").select("item_id", "needle")
+    near = near.unionByName(d.join(brief, F.contains("page", "needle")).select("doc_id", "item_id")).distinct()
+    near = near.select(F.col("doc_id").alias("near_doc"), F.col("item_id").alias("near_item"))
+    rows = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("near_doc")))
+    rows = rows.join(quotes.select("item_id", "quote"), F.col("item_id").eqNullSafe(F.col("near_item")))
+    e = text.evidence(F.col("quote"), text.anchor(F.col("quote")), F.col("text"))
+    return rows.select("doc_id", "item_id", e.alias("e")).select("doc_id", "item_id", "e.anchor_intact", "e.found_on_page", "e.ok").where("found_on_page")
+
+
+def benchmark_quotes(spark, sf_dir):
+    """Every benchmark passage against every document; ``evidence_check`` reads one fixed pair a document."""
+    return quotes_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
+
+
 def pack_chunks(spark, sf_dir):
     p = filing_pages(spark, sf_dir).withColumn("char_count", F.length("text"))
     packed = readings.pack_pages(p, ["document_id"], budget=F.lit(5000).cast("long"), page_limit=F.lit(8))
@@ -126,7 +164,7 @@ def run_estimate(spark, sf_dir):
     return e.select("document_id", "pages", "requests", "input_tokens", F.round("cost_low", 6).alias("cost_low"), F.round("cost_high", 6).alias("cost_high"))
 
 
-QUERIES = {f.__name__: f for f in (page_status, content_dups, dup_severity, readability, inventory_rollup, layer_segments, region_segments, body_pages, structure_scores, structure_class, evidence_check, pack_chunks, run_estimate)}
+QUERIES = {f.__name__: f for f in (page_status, content_dups, dup_severity, readability, inventory_rollup, layer_segments, region_segments, body_pages, structure_scores, structure_class, evidence_check, benchmark_quotes, pack_chunks, run_estimate)}
 
 _PAGES = "p AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pdf_page, text, doc_id % 2 = 0 AS has_images, doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS char_count FROM documents)"
 _STATUS = "CASE WHEN char_count < 10 AND has_images THEN 'image_only' WHEN char_count < 10 THEN 'blank' WHEN char_count < 100 THEN 'sparse' ELSE 'machine_readable' END"
@@ -174,6 +212,8 @@ FROM d LEFT JOIN f USING (document_id) LEFT JOIN o USING (document_id)""",
     "evidence_check": f"""WITH d AS (SELECT doc_id, d.text, CASE WHEN doc_id % 3 = 0 THEN substr(d.text, 3, 40) ELSE b.text END AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
 c AS (SELECT doc_id, {_CANON.format('text')} AS page, {_CANON.format('quote')} AS needle FROM d)
 SELECT doc_id, needle <> '' AS anchor_intact, needle <> '' AND page <> '' AND contains(page, needle) AS found_on_page, needle <> '' AND page <> '' AND contains(page, needle) AS ok FROM c""",
+    "benchmark_quotes": f"""WITH c AS (SELECT doc_id, {_CANON.format('text')} AS page FROM documents), q AS (SELECT item_id, {_CANON.format('text')} AS needle FROM benchmark)
+SELECT doc_id, item_id, true AS anchor_intact, true AS found_on_page, true AS ok FROM c JOIN q ON needle <> '' AND contains(page, needle)""",
     "pack_chunks": """WITH RECURSIVE p AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, floor(length(text) / 2.9)::BIGINT + 1 AS t FROM documents),
 f AS (SELECT document_id, page, 0::BIGINT AS chunk, t AS used, 1::BIGINT AS n FROM p WHERE page = 1
  UNION ALL SELECT p.document_id, p.page, CASE WHEN f.used + p.t > 5000 OR f.n >= 8 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + p.t > 5000 OR f.n >= 8 THEN p.t ELSE f.used + p.t END, CASE WHEN f.used + p.t > 5000 OR f.n >= 8 THEN 1 ELSE f.n + 1 END FROM f JOIN p ON p.document_id = f.document_id AND p.page = f.page + 1)

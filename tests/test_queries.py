@@ -40,3 +40,20 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     same_rows(spark, duck, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
+def test_every_quote_meets_every_document(spark):
+    from tessella.plans.documents import quotes_found
+
+    texts = ["One two  three four five\nsix seven eight nine ten", "xone two three four five six seven eighty", "two", "", None, "three four", "fur two-three"]
+    said = ["one two three four five six seven eight", "TWO three", "three", "two three four", "two three fou", "absent", "", None, "four five six seven eight nine"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[1]), (None, "two three")], "doc_id long, text string")
+    quotes = spark.createDataFrame([*((100 + i, t) for i, t in enumerate(said)), (100, "fur")], "item_id long, quote string")
+    plain_text = lambda t: " ".join((t or "").lower().split())
+    want = [(d["doc_id"], q["item_id"], True, True, True) for d in docs.collect() for q in quotes.collect() if plain_text(q["quote"]) and plain_text(q["quote"]) in plain_text(d["text"])]
+    assert sorted(map(tuple, quotes_found(docs, quotes).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_quotes_beyond_the_fixed_pairs(spark):
+    got = catalog.QUERIES["benchmark_quotes"](spark, "/root/testdata/sf0.01").collect()
+    assert any(r["doc_id"] % 40 != r["item_id"] for r in got)
