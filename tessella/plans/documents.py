@@ -33,11 +33,11 @@ def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the columns that the integrity operators need, all in the JVM."""
+    """Pages with the columns that the integrity operators need."""
     p = filing_pages(spark, sf_dir)
     stripped = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     p = p.withColumn("char_count", F.length(stripped))
-    return p.withColumns({"text_layer_status": pages.text_layer_status(F.col("char_count"), F.col("has_images")), "content_hash": text.content_hash(F.col("text"), compose=False)})
+    return p.withColumns({"text_layer_status": pages.text_layer_status(F.col("char_count"), F.col("has_images")), "content_hash": text.content_hash(F.col("text"))})
 
 
 def joined(pages_: str):
@@ -49,7 +49,7 @@ def page_status(spark, sf_dir):
 
 
 def content_dups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text"), compose=False).alias("content_hash"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
     return d.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
 
 
@@ -109,7 +109,7 @@ def evidence_check(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40)
     d = d.join(b, "item_id")
     quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 3, 40)).otherwise(F.col("quote_b"))
-    e = text.evidence(quote, text.anchor(quote, compose=False), F.col("text"), compose=False)
+    e = text.evidence(quote, text.anchor(quote), F.col("text"))
     return d.select("doc_id", e.alias("e")).select("doc_id", "e.anchor_intact", "e.found_on_page", "e.ok")
 
 

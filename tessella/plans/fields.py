@@ -65,14 +65,14 @@ def controlled(spark, sf_dir):
     raw = F.when(k % 13 == 0, " ").when(k % 5 == 0, F.concat(F.when(k % 2 == 0, "up to $").otherwise("$"), amount)).when(k % 5 == 1, F.concat(F.lit("notice  in "), amount)).when(k % 5 == 2, F.when(k % 2 == 0, F.date_format("ts", "MMMM d, yyyy")).otherwise("promptly")).otherwise(F.when(k % 2 == 0, "Yes").otherwise("perhaps"))
     quote = F.when(k % 7 != 0, F.when(k % 3 == 0, F.lit("not in the record")).otherwise(F.col("event_type")))
     rows = field_rows(e, document_id=F.col("user_id").cast("string"), field_name=name, document_layer=F.lit("agreement"), raw_value=raw, evidence=quote, pdf_page=F.when(k % 17 != 0, F.lit(1)), confidence=(k % 100) / 100.0, run_id=F.lit("r"), extraction_method=F.lit("llm"), status=F.when(k % 19 == 0, "not_applicable").otherwise("found"))
-    uri = text.locator_uri(F.col("document_id"), F.col("document_layer"), F.col("pdf_page"), F.lit(None).cast("string"), text.anchor(F.col("evidence"), compose=False))
+    uri = text.locator_uri(F.col("document_id"), F.col("document_layer"), F.col("pdf_page"), F.lit(None).cast("string"), text.anchor(F.col("evidence")))
     return rows.withColumn("locator_uri", uri).withColumn("page_text", F.concat(F.lit("record of "), F.coalesce("evidence", F.lit(""))))
 
 
 def control_outcomes(spark, sf_dir):
     rows = controlled(spark, sf_dir)
     rows = rows.withColumn("page_text", F.when(F.col("evidence") == "not in the record", "something else").otherwise(F.col("page_text")))
-    out = controls.apply_controls(rows, dims.field_registry(spark), compose=False)
+    out = controls.apply_controls(rows, dims.field_registry(spark))
     return out.groupBy("field_name", "status", "review_status", "normalization_status", "evidence_verified").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -118,7 +118,7 @@ def corrections(spark, sf_dir):
     k = F.col("document_id").cast("long")
     edits = c.select("document_id", F.when(k % 3 == 2, "no_such_field").otherwise(F.col("field_name")).alias("field_name"), "document_layer", "run_id", F.lit(1).cast("long").alias("edit_seq"), F.when(k % 12 == 0, F.lit("up to $5")).otherwise(F.lit("€7 million")).alias("raw_value"), F.lit("quote").alias("evidence"), F.lit(None).cast("string").alias("printed_page"), F.lit(1).alias("pdf_page"), F.lit(None).cast("string").alias("section"), F.lit("seen").alias("reviewer_note"))
     pages_ = rows.select("document_id").distinct().select("document_id", F.lit(1).alias("pdf_page"), F.lit("a quote here").alias("text"), F.lit("A-1").alias("printed_page"))
-    judged_ = review.judge_corrections(edits, rows, dims.field_registry(spark), pages_, compose=False)
+    judged_ = review.judge_corrections(edits, rows, dims.field_registry(spark), pages_)
     out = review.overlay(rows, judged_)
     return out.select("document_id", "document_layer", "value_num", "currency", "status", "review_status", "extraction_method", "confidence", "printed_page", "evidence_verified")
 

@@ -66,3 +66,10 @@ def test_context_holds_whole_turns(spark):
     got = {r["document_id"]: r["context"] for r in catalog.QUERIES["qa_whole_context"](spark, SF).collect()}
     assert set(got) == set(said) and any(len(t) > 30 for x in said.values() for t in x)
     assert all(t in got[d] for d, x in said.items() for t in x)
+
+
+def test_duplicates_in_other_letter_forms(spark, tmp_path):
+    texts = ["The office café serves ﬁne food. " * 9, "The oﬃce cafe\u0301 serves fine food. " * 9, "The office café serves ｆｉｎｅ food. " * 9, "another text " * 30]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["n_docs"], r["first_doc"]) for r in catalog.QUERIES["content_dups"](spark, str(tmp_path)).collect()] == [(3, 0)]
+    assert [r["pages"] for r in catalog.QUERIES["dup_severity"](spark, str(tmp_path)).collect()] == ["1,2,3"]
