@@ -6,7 +6,7 @@ import atexit
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the five ASCII controls.
@@ -23,19 +23,26 @@ def word_array(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (local tests) is a folder chosen here.
+    Only a session on one machine (``local`` masters, as in tests) may leave the
+    setting out; on a cluster a machine-local folder would lose rows, so it fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"/tmp/checkpoints/{os.getuid()}"
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"/tmp/checkpoints/{os.getuid()}"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the tasks that it ran, never the
-    steps before the written table. The folders go when the session's Python
-    process ends. Tables of a few narrow rows are better left uncompressed: a
-    codec's direct buffers for each of many small files outweigh them.
+    steps before the written table. ``discard`` deletes a table that no later
+    step reads; the rest goes when the session's Python process ends. Tables of a
+    few narrow rows are better left uncompressed: a codec's direct buffers for
+    each of many small files outweigh them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
@@ -43,7 +50,23 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     if not _written:
         atexit.register(_clean)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessella_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose readers have all been written."""
+    for table in tables:
+        path = getattr(table, "_tessella_path", None)
+        if path in _written:
+            _delete(table.sparkSession, path)
+            _written.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
@@ -51,21 +74,39 @@ def _clean() -> None:
     if spark is None:
         return
     try:
-        jvm = spark.sparkContext._jvm
         for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
     except Exception:  # the JVM may be gone already; the folder has its own clean-up then
         pass
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """A materialised copy of ``df`` with ``place``, its rows' exact places from 0 on
+    in a total order.
+
+    No window runs over all rows: rows are range-sorted, numbered inside each
+    range, and the ranges' offsets come from one row per range.
+    """
+    keys = [f"__k{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(keys, order, strict=True)))
+    sort = [F.col(k).asc_nulls_last() for k in keys]
+    dealt = materialise(dealt.repartitionByRange(*sort).withColumn("__range", F.spark_partition_id()), "numbered", "none")
+    counts = dealt.groupBy("__range").count()
+    before = counts.select(F.col("__range").alias("__r"), (F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("__before"))
+    inside = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*sort)))
+    out = inside.join(before, F.col("__range") == F.col("__r")).withColumn("place", F.col("__before") + F.col("__at") - 1)
+    return out.drop("__range", "__r", "__before", "__at", *keys)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Hand texts to Python in smaller batches than Spark's default, unless the
     session has chosen a size: the default's 10,000 long texts are too much for
-    several Python workers beside one executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+    several Python workers beside one executor's heap. Queries and pipeline
+    stages call this; the operators leave a caller's session as it is."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", None, "33554432")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 def portable(module_name: str) -> None:

@@ -1,35 +1,40 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document starts with the fractional copy count of its source (target words
-over source words, at most 2). The whole part is taken at once. The fractional
-parts are rounded in pairs: two documents exchange *words* (probability times
-size), in a random direction with unbiased odds, until one of them is at 0 or at
-1. So each exchange keeps the source's expected word count exactly.
-
-Exchanges form a distributed reduction tree: documents are dealt into blocks of
-about ``BLOCK``, each block is folded in the JVM, and only its one undecided
-document goes up to the next level. A hot source just has more blocks. At the
-root, a source's last block, the largest document is paired with all smaller ones
-together, then the next, so what a source misses of its target is the rounding
-of its smallest documents there. Below the root all masses are integers
-(``SCALE`` parts of a word) and folds are exact; all random choices are hashes of
-ids and seed, so reruns agree.
+over source words, at most 2). The whole part is taken at once; the fractional
+parts are rounded pivotally: two parties exchange *words* (probability times
+size), in a random direction with unbiased odds, until one of them is integral.
+So each exchange keeps the source's word count exactly, and every party's
+expectation.
+
+Exchanges form a distributed reduction tree, the same one at every size.
+Documents are dealt into blocks of about ``block``. In a block the largest
+document is paired with all smaller ones together, then the next; these still
+have one common probability, which is the fold's state. A document leaves the
+pair at 0 or 1, unless its smaller partners become integral first. So one
+document of the block stays open, nearly always its smallest. The open documents
+go up and are folded pairwise in blocks again, level by level, until each source
+has one, and the root decides it with its own odds. A source's words therefore
+miss the target by the rounding of one small document. All random choices are
+hashes of ids and seed, so reruns agree. A hot source just has more blocks.
 
 Edge cases: null text has size 0 and takes 0 words; null is a source of its own
 and comes last; null ids are allowed; repeated rows (equal id, source and size)
-share one decision; an empty table gives an empty result; a source without words
-has target 0. Extra columns are carried through.
+share one decision; documents of equal size are ordered by a hash of their ids;
+a very long text is one narrow row like any other, and in a source where it
+outweighs all others together it may be left to the root; an empty table gives
+an empty result; a source without words has target 0. Extra columns are carried
+through by ``repeat``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, word_array
+from tessella.llm.common import discard, materialise, numbered, word_array
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -37,42 +42,91 @@ CAP = 2
 BLOCK = 512
 SCALE = 1 << 16
 SEED = 20240601
+#: Rows of a source meet its target over this many keys where the targets are too many to broadcast.
+SALTS = 64
+
+_OPEN = "struct<id:bigint,full:bigint,mass:double>"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """``source, source_size, target`` from rows of ``source, size``.
+    """``source, source_size, n_rows, target`` from rows of ``source, size``.
 
-    Targets are ``min(cap * size, level * weight)`` with the level that spends
-    the share exactly: what repeated resharing of the excess converges to. The
-    windows run over one row per source.
+    Targets are ``min(cap * size, level * weight)``. The level starts where it
+    spends the share over all weights; what sources at their stop leave over is
+    reshared among the rest until none is above. A round is one aggregate to two
+    numbers; sources are ranked without a window over all of them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap)
-    every = Window.partitionBy()
-    ratio = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(ratio), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(ratio), F.lit(0.0)))
-    per = per.withColumn("level", level)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    per = per.withColumn("level", F.max(fits).over(every))
-    target = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double")))
-    return per.select("source", "source_size", "n_rows", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = numbered(per, F.col("source")).withColumns({"weight": weight, "most": F.col("source_size") * cap})
+    per = materialise(per.drop("place"), "mix-sources", "none")
+    words = per.agg(F.sum("source_size")).first()[0] or 0
+    level = 0.0
+    while True:
+        above = F.col("most") < F.col("weight") * level
+        spent, left = per.agg(F.sum(F.when(above, F.col("most"))), F.sum(F.when(~above, F.col("weight")))).first()
+        if not left:
+            break
+        raised = (share * words - (spent or 0)) / left
+        if raised <= level * (1 + 1e-12):
+            break
+        level = raised
+    return per.select("source", "source_size", "n_rows", F.least(F.col("most").cast("double"), F.col("weight") * level).alias("target"))
 
 
 def _item(doc_id: Column, source: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), doc_id, F.coalesce(source, F.lit("\0null")), size)
+    return F.xxhash64(doc_id, F.coalesce(source, F.lit("\0null")), size)
+
+
+def _unit(seed: int, *cols: Column) -> Column:
+    """A uniform value in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52).cast("long")).cast("double") / float(1 << 52)
 
 
-def _unit(*cols: Column) -> Column:
-    """A uniform value below 2**52 from a hash."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *cols), F.lit(1 << 52).cast("long"))
+def _one(taken: Column, item: Column) -> Column:
+    return F.when(taken, F.array(item)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _fold(items: Column) -> Column:
-    """Fold a block; the state is the undecided item and the ids decided as 1."""
-    none = F.lit(None).cast("struct<id:bigint,full:bigint,mass:bigint>")
+def leaf(items: Column, part: Column, seed: int = SEED) -> Column:
+    """Fold a block of documents (id, full), largest first, that have one common probability.
+
+    The result has the open document, if any, and the ids decided as 1.
+    """
+    whole = F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x["full"])
+    start = F.struct(part.alias("q"), whole.alias("rest"), F.lit(None).cast(_OPEN).alias("open"), F.array().cast("array<bigint>").alias("ones"))
+
+    def step(s: Column, x: Column) -> Column:
+        # the parties' sums are structs of their own, so that each is computed once
+        def pair(v: Column) -> Column:
+            full, rest, q = x["full"].cast("double"), (s["rest"] - x["full"]).cast("double"), s["q"]
+            up, down = F.least(full - q * full, q * rest), F.least(q * full, rest - q * rest)
+            return F.struct(full.alias("full"), rest.alias("rest"), up.alias("up"), down.alias("down"), (_unit(seed, x["id"], F.lit("leaf")) * (up + down) < down).alias("rises"))
+
+        def state(v: Column) -> Column:
+            q, full, rest = s["q"], v["full"], v["rest"]
+            one = v["rises"] & (full - q * full <= q * rest)
+            zero = ~v["rises"] & (q * full <= rest - q * rest)
+            mass = q * full + F.when(v["rises"], v["up"]).otherwise(-v["down"])
+            shifted = F.when(rest > 0, q + F.when(v["rises"], -v["up"]).otherwise(v["down"]) / rest).otherwise(q)
+            moved = F.when(one | zero, F.greatest(F.least(shifted, F.lit(1.0)), F.lit(0.0))).otherwise(F.when(v["rises"], F.lit(0.0)).otherwise(F.lit(1.0)))
+            # once a document is open, its smaller partners are all at 0 or all at 1
+            left = F.when(s["open"].isNotNull(), s["open"]).when(~one & ~zero, F.struct(x["id"].alias("id"), x["full"].alias("full"), mass.alias("mass")))
+            return F.struct(
+                F.when(s["open"].isNotNull(), q).otherwise(moved).alias("q"),
+                (s["rest"] - x["full"]).alias("rest"),
+                left.alias("open"),
+                F.concat(s["ones"], _one(F.when(s["open"].isNotNull(), q > 0.5).otherwise(one), x["id"])).alias("ones"),
+            )
+
+        return F.get(F.transform(F.transform(F.array(F.lit(0)), pair), state), 0)
+
+    return F.aggregate(items, start, step)
+
+
+def fold(items: Column, seed: int = SEED) -> Column:
+    """Fold open documents (id, full, mass) pairwise; all in exact integers of ``1 / SCALE`` words."""
+    kind = "struct<id:bigint,full:bigint,mass:bigint>"
+    none = F.lit(None).cast(kind)
     start = F.struct(none.alias("open"), F.array().cast("array<bigint>").alias("ones"))
 
     def item(i: Column, full: Column, mass: Column) -> Column:
@@ -83,103 +137,75 @@ def _fold(items: Column) -> Column:
         to_a = F.least(a["full"] - a["mass"], x["mass"])
         to_x = F.least(a["mass"], x["full"] - x["mass"])
         # words go to a with odds to_x : to_a, so the expectation of both stays
-        chosen = (_unit(a["id"], x["id"]).cast("double") / float(1 << 52)) * (to_a + to_x).cast("double") < to_x.cast("double")
-        shift = F.when(chosen, to_a).otherwise(-to_x)
+        shift = F.when(_unit(seed, a["id"], x["id"]) * (to_a + to_x).cast("double") < to_x.cast("double"), to_a).otherwise(-to_x)
         new_a, new_x = a["mass"] + shift, x["mass"] - shift
         done_a = (new_a == 0) | (new_a == a["full"])
         done_x = (new_x == 0) | (new_x == x["full"])
         left = F.when(~done_a, item(a["id"], a["full"], new_a)).when(~done_x, item(x["id"], x["full"], new_x)).otherwise(none)
-        more = F.concat(
-            ones,
-            F.when(done_a & (new_a == a["full"]), F.array(a["id"])).otherwise(F.array().cast("array<bigint>")),
-            F.when(done_x & (new_x == x["full"]), F.array(x["id"])).otherwise(F.array().cast("array<bigint>")),
-        )
+        more = F.concat(ones, _one(done_a & (new_a == a["full"]), a["id"]), _one(done_x & (new_x == x["full"]), x["id"]))
         return F.when(a.isNull(), F.struct(item(x["id"], x["full"], x["mass"]).alias("open"), ones.alias("ones"))).otherwise(F.struct(left.alias("open"), more.alias("ones")))
 
     return F.aggregate(items, start, step)
 
 
-def _root(items: Column, all_mass: Column, all_full: Column) -> Column:
-    """Ids decided as 1 in a source's last block, which leaves nothing undecided.
+def _taken(items: DataFrame, most: int, block: int, seed: int) -> DataFrame:
+    """``source, item`` of all documents of ``source, item, words, part, n`` that round up;
+    ``most`` is the largest ``n``, the rows of a source."""
+    ones, written, level, width = [], [], 0, 1
+    while level == 0 or width < most:
+        width *= block
+        blocks = F.greatest(F.ceil(F.col("n") / F.lit(float(width))).cast("long"), F.lit(1).cast("long"))
+        dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item"), blocks))
+        if level == 0:
+            members = F.sort_array(F.collect_list(F.struct((-F.col("words")).alias("k"), F.xxhash64(F.lit(seed), "item").alias("o"), F.col("item").alias("id"), F.col("words").alias("full"))))
+            grouped = dealt.groupBy("source", "block").agg(members.alias("items"), F.first("n").alias("n"), F.first("part").alias("part"))
+            done = leaf(F.col("items"), F.col("part"), seed)
+        else:
+            members = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "item").alias("o"), F.col("item").alias("id"), "full", "mass")))
+            grouped = dealt.groupBy("source", "block").agg(members.alias("items"), F.first("n").alias("n"))
+            done = fold(F.col("items"), seed)
+        folded = materialise(grouped.select("source", "n", done.alias("f")).select("source", "n", "f.open", "f.ones"), f"mix-level{level}", "none")
+        written.append(folded)
+        ones.append(folded.select("source", F.explode("ones").alias("item")))
+        full, mass = F.col("open.full"), F.col("open.mass")
+        if level == 0:
+            full = full * SCALE
+            mass = F.least(F.greatest(F.round(mass * SCALE).cast("long"), F.lit(0).cast("long")), full)
+        items = folded.where("open is not null").select("source", F.col("open.id").alias("item"), full.alias("full"), mass.alias("mass"), "n")
+        level += 1
+    # one open document is left of each source; the root decides it with its own odds
+    up = items.where(_unit(seed, F.col("item"), F.lit("root")) * F.col("full") < F.col("mass")).select("source", "item")
+    for more in ones:
+        up = up.unionByName(more)
+    up = materialise(up, "mix-taken", "none")
+    discard(*written)
+    return up
 
-    From the largest item down, each is paired with all smaller ones together: it
-    becomes 0 or 1 with its own odds, and the others take up the difference in
-    proportion to what they have or have room for. Their masses change by one
-    affine map of mass and size, which is the state. So only the smallest items'
-    rounding is left as an error.
-    """
-    zero = F.lit(0.0)
-    start = F.struct(F.lit(1.0).alias("a"), zero.alias("b"), all_mass.cast("double").alias("m"), all_full.cast("double").alias("f"), F.array().cast("array<bigint>").alias("ones"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = x["full"].cast("double")
-        rest_m, rest_f = s["m"] - x["mass"], s["f"] - x["full"]
-        mass = F.least(F.greatest(s["a"] * x["mass"] + s["b"] * full, zero), full)
-        pool = F.greatest(s["a"] * rest_m + s["b"] * rest_f, zero)
-        room = F.greatest(rest_f - pool, zero)
-        can_up, can_down = pool >= full - mass, room >= mass
-        drawn = _unit(x["id"]).cast("double") / float(1 << 52) * full < mass
-        up = F.when(can_up & can_down, drawn).when(can_up | can_down, can_up).otherwise(mass * 2 >= full)
-        share = F.when(up, F.when(pool > 0, F.least(full - mass, pool) / pool).otherwise(zero)).otherwise(F.when(room > 0, F.least(mass, room) / room).otherwise(zero))
-        return F.struct(
-            (s["a"] * (1 - share)).alias("a"),
-            (s["b"] * (1 - share) + F.when(up, zero).otherwise(share)).alias("b"),
-            rest_m.alias("m"),
-            rest_f.alias("f"),
-            F.concat(s["ones"], F.when(up, F.array(x["id"])).otherwise(F.array().cast("array<bigint>"))).alias("ones"),
-        )
-
-    return F.aggregate(items, start, step, lambda s: s["ones"])
-
-
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for each row.
 
     The item of a decision is the hash of id, source and size; rows that are
-    alike in all three are one item with their common mass.
+    alike in all three are one item with their common words.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
     # the texts are read once; what follows works on these narrow rows
     sized = materialise(sized.withColumn("item", _item(F.col("doc_id"), F.col("source"), F.col("size"))), "mix-sizes", "none")
     targets = source_targets(sized, weights, share, cap)
-    key = F.col("source").eqNullSafe(F.col("t_source"))
-    named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n_rows")
+    # a source of a third of all rows meets its target over many keys, where the targets are no broadcast
+    named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n_rows", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
+    key = F.col("source").eqNullSafe(F.col("t_source")) & (F.pmod("item", F.lit(SALTS)).cast("int") == F.col("t_salt"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(named, key, "left").drop("t_source").withColumn("rate", rate)
+    rows = sized.join(named, key, "left").drop("t_source", "t_salt").withColumn("rate", rate)
     rows = rows.withColumn("whole", F.least(F.floor(F.col("rate") + 1e-12), F.lit(cap)).cast("long"))
     part = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))
     rows = rows.withColumn("part", F.when(part > 1e-9, part).otherwise(F.lit(0.0)))
 
     items = rows.where((F.col("part") > 0) & (F.col("size") > 0)).groupBy("source", "item").agg(F.sum("size").alias("words"), F.first("part").alias("part"), F.first("n_rows").alias("n"))
-    full = F.col("words") * SCALE
-    items = items.select("source", "item", full.alias("full"), F.least(F.greatest(F.round(F.col("part") * full).cast("long"), F.lit(0)), full).alias("mass"), "n")
-    most = targets.agg(F.max("n_rows")).first()[0] or 0
-    levels = max(1, math.ceil(math.log(max(most, 2), BLOCK / 2)))
-    ones = []
-    for level in range(levels + 1):
-        blocks = F.lit(1) if level == levels else F.ceil(F.col("n") / F.lit(float(BLOCK) * (BLOCK // 2) ** level))
-        dealt = items.withColumn("blocks", F.greatest(blocks.cast("long"), F.lit(1).cast("long")))
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item"), F.col("blocks")))
-        # a source's only block is its root; there the largest come first, elsewhere any fixed order does
-        order = F.struct(F.when(F.col("blocks") == 1, -F.col("full")).otherwise(F.lit(0).cast("long")).alias("k"), F.xxhash64(F.lit(-1 - level), "item").alias("o"), F.col("item").alias("id"), "full", "mass")
-        grouped = dealt.groupBy("source", "block").agg(
-            F.transform(F.sort_array(F.collect_list(order)), lambda x: F.struct(x["id"].alias("id"), x["full"].alias("full"), x["mass"].alias("mass"))).alias("items"),
-            F.first("n").alias("n"),
-            F.first("blocks").alias("blocks"),
-            F.sum("mass").alias("all_mass"),
-            F.sum("full").alias("all_full"),
-        )
-        whole = F.struct(F.lit(None).cast("struct<id:bigint,full:bigint,mass:bigint>").alias("open"), _root(F.col("items"), F.col("all_mass"), F.col("all_full")).alias("ones"))
-        folded = grouped.withColumn("f", F.when(F.col("blocks") == 1, whole).otherwise(_fold(F.col("items"))))
-        folded = materialise(folded.select("source", "n", "f.open", "f.ones"), f"mix-level{level}", "none")
-        ones.append(folded.select("source", F.explode("ones").alias("item")))
-        items = folded.where("open is not null").select("source", F.col("open.id").alias("item"), F.col("open.full").alias("full"), F.col("open.mass").alias("mass"), "n")
-    up = ones[0]
-    for more in ones[1:]:
-        up = up.unionByName(more)
-    # an item hash belongs to one (id, source, size); joining on it alone spreads a hot source
-    up = up.select(F.col("item").alias("up_item"), F.lit(1).cast("long").alias("up"))
-    out = rows.join(up, F.col("item") == F.col("up_item"), "left")
+    up = _taken(items, targets.agg(F.max("n_rows")).first()[0] or 0, block, seed)
+    # the join's first key is the item, so a hot source is spread
+    up = up.select(F.col("item").alias("up_item"), F.col("source").alias("up_source"), F.lit(1).cast("long").alias("up"))
+    out = rows.join(up, (F.col("item") == F.col("up_item")) & F.col("source").eqNullSafe(F.col("up_source")), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "item", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -14,10 +14,11 @@ ranges. Keys are computed from bytes by vectorised hashing, so that the sampling
 pass of the range sort costs little; texts are tokenized once, after it. A task
 holds one Arrow batch and less than one sequence.
 
-Edge cases: null text counts as empty; an empty text is the end id alone. Null
-ids sort first. Repeated rows are packed once per row. Extra columns are
-ignored. An empty table gives an empty result. Strings of special tokens inside
-a text are ordinary text.
+Edge cases: null text counts as empty; an empty text is the end id alone. A very
+long text runs over as many sequences as it needs. Null ids sort first; ties in
+key and id stay in one range. Repeated rows are packed once per row. Extra columns
+are ignored. An empty table gives an empty result. A special token's string inside
+a text becomes that token's id, as the file's own library has it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytehash
-from tessella.llm.common import bounded_batches, portable
+from tessella.llm.common import portable
 
 SIZE = 1024
 END = 0
@@ -104,20 +105,22 @@ class Encoder:
         ranked = [vocab.get(a + b, -1) for a, b in split]
         pre = model.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("normalizer") is None
+        added = model.get("added_tokens") or []
+        # added tokens are cut out of a text before anything else if they have no rules of their own
+        plain = plain and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
         self.fast = None
         if plain and ranked == sorted(ranked) and ranked[0] >= 256:
             import tiktoken
 
-            special = {t["content"] for t in model.get("added_tokens", [])}
+            special = {t["content"]: t["id"] for t in added}
             letters = self._letters()
             ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         else:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_str(content)
-            self.slow.encode_special_tokens = True
 
     @staticmethod
     def _letters() -> dict[str, int]:
@@ -128,7 +131,7 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -192,7 +195,6 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     broadcasts its content. ``ids`` are little-endian 32-bit. The sequence size
     is a power of two.
     """
-    bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 

@@ -1,9 +1,10 @@
-"""Quality classifier: a factorisation machine over hashed words and structure.
+"""Quality classifier: a factorisation machine over hashed words, structure and metadata.
 
-Features of a text are its distinct words, hashed to ``BUCKETS`` ids, and
-statistics of its structure (length, shares of capitals, digits, symbols and
-marks, word length, repeated lines and words), each cut into bins. A second
-order factorisation machine scores all pairs of them in linear time, by
+Features of a text are its distinct words, hashed to ``BUCKETS`` ids, statistics
+of its structure (length, shares of capitals, digits, symbols and marks, word
+length, repeated lines and words) and metadata columns that the caller names
+(numbers, on a logarithmic scale), each cut into bins. A second order
+factorisation machine scores all pairs of them in linear time, by
 ``0.5 * sum_f((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``.
 
 It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest
@@ -11,8 +12,11 @@ hash of their id (a documented bound: the sample, and what the driver holds, do
 not grow with the corpus). The model has a fixed size, so it is broadcast.
 Scoring is a map over the scan without any shuffle.
 
-Edge cases: null text counts as empty; an empty text has only structure and is
-scored from that. Labels without a matching document, null labels and null ids
+Edge cases: null text counts as empty; an empty text has only structure and
+metadata and is scored from those. A very long text is read whole. Metadata that
+is null, negative or not finite has a bin of its own. A labelled id with several
+rows is learnt from one of them, that of the smallest text hash; among ties in the
+id hash the smaller id is learnt from. Labels without a matching document, null labels and null ids
 are not used. Without usable labels every score is 0.5; with one class only it
 is near that class. Repeated rows get equal scores. Extra columns are carried
 through, one named like the result is replaced. An empty table gives an empty
@@ -21,15 +25,15 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytehash
-from tessella.llm.common import bounded_batches, portable
+from tessella.llm.common import portable
 
 BUCKETS = 1 << 16
 FACTORS = 8
@@ -52,7 +56,11 @@ CLASSES = {
     "line": b"\n",
 }
 STATS = [*CLASSES, "log_bytes", "log_words", "word_length", "repeated_lines", "repeated_words"]
-WIDTH = BUCKETS + len(STATS) * BINS
+#: Bins of a metadata column: one for no value, the others by its logarithm.
+META_BINS = 32
+#: Metadata columns that a model has room for.
+META = 4
+WIDTH = BUCKETS + len(STATS) * BINS + META * META_BINS
 
 
 def _shares(b: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -74,7 +82,14 @@ def _distinct(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return d[keep], v[keep], np.bincount(d[keep], minlength=n)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def meta_bins(column: pa.Array) -> np.ndarray:
+    """Bins of a metadata column: half powers of two, and 0 where there is no value."""
+    x = column.cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    good = np.isfinite(x) & (x >= 0)
+    return np.where(good, 1 + np.minimum(np.log2(np.where(good, x, 0) + 1) * 1.5, META_BINS - 2), 0).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, meta: list[np.ndarray] = []) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, past last, text, feature, value) for runs of texts."""
     for i, j, b, at in bytehash.chunks(data, offsets):
         n = j - i
@@ -95,6 +110,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
         scaled += [np.log1p(size) / 14, np.log1p(words) / 12, np.minimum(size / np.maximum(words, 1), 24) / 24]
         scaled += [1 - line_count / np.maximum(lines, 1), 1 - count / np.maximum(words, 1)]
         bins = [np.clip((s * BINS).astype(np.int64), 0, BINS - 1) + BUCKETS + k * BINS for k, s in enumerate(scaled)]
+        bins += [m[i:j] + BUCKETS + len(STATS) * BINS + k * META_BINS for k, m in enumerate(meta)]
         text = np.concatenate([d, *[np.arange(n)] * len(bins)])
         feature = np.concatenate([f, *bins])
         value = np.concatenate([1 / np.sqrt(count[d]), np.full(n * len(bins), 0.5)])
@@ -159,20 +175,30 @@ class Machine:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = bytehash.text_bytes(batch.column("text"))
-        for i, j, text, feature, value in features(data, offsets):
+        meta = [meta_bins(c) for c in batch.column("meta").flatten()] if "meta" in batch.schema.names else []
+        for i, j, text, feature, value in features(data, offsets, meta):
             order = np.argsort(text, kind="stable")
             at = np.r_[0, np.cumsum(np.bincount(text, minlength=j - i))].astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x[order])) for x in (feature.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), *lists], names=["doc_id", "label", "feature", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Machine:
+def _meta(metadata: Sequence[str]) -> list[Column]:
+    if len(metadata) > META:
+        raise ValueError(f"at most {META} metadata columns")
+    return [F.struct(*[F.col(f"`{c}`").cast("double").alias(f"m{k}") for k, c in enumerate(metadata)]).alias("meta")] if metadata else []
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", metadata: Sequence[str] = (), train_rows: int = TRAIN_ROWS) -> Machine:
     """Fit on ``labels`` (doc_id, label 0 or 1): the rows with the smallest id hashes."""
     usable = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     picked = usable.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "l_id")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text")  # at most train_rows rows
-    table = joined.mapInArrow(_rows, "doc_id long, label int, feature array<int>, value array<float>").toArrow().sort_by("doc_id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *_meta(metadata))
+    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))  # at most train_rows rows
+    # one row an id, however often a table repeats it, so the sample's bound holds for what the driver gets
+    given = ["text", *(["meta"] if metadata else [])]
+    one = joined.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *given)).alias("r")).select("doc_id", "label", *[f"r.{c}" for c in given])
+    table = one.mapInArrow(_rows, "doc_id long, label int, feature array<int>, value array<float>").toArrow().sort_by("doc_id")
     y = table.column("label").to_numpy().astype(float)
     rows = []
     for f, v in zip(table.column("feature").chunks, table.column("value").chunks, strict=True):
@@ -180,22 +206,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return Machine().fit(rows, y)
 
 
-def score(docs: DataFrame, model: Machine, *, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Machine, *, text: str = "text", metadata: Sequence[str] = ()) -> DataFrame:
     """``docs`` with ``score``, the probability of a good text."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
+    n = len(metadata)
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, *meta: pa.Array) -> pa.Array:
         machine = Machine()
         machine.bias, machine.w, machine.v = shared.value
         data, offsets = bytehash.text_bytes(texts)
         out = np.zeros(len(texts))
-        for i, j, t, f, v in features(data, offsets):
+        for i, j, t, f, v in features(data, offsets, [meta_bins(m) for m in meta[:n]]):
             out[i:j] = machine.score(t, f, v, j - i)
         return pa.array(out)
 
-    return docs.withColumn("score", run(F.col(text)))
+    return docs.withColumn("score", run(F.col(text), *[F.col(f"`{c}`").cast("double") for c in metadata]))
 
 
 portable(__name__)

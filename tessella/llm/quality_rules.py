@@ -12,7 +12,8 @@ floats (a scalar subquery of fixed size), so scoring is a projection over the
 scan without any shuffle.
 
 Edge cases: null text counts as empty; an empty text has no words, fails the
-base rule and scores 0. Extra columns are carried through; one that is named like
+base rule and scores 0. A very long text is read whole, and its n-grams weigh like
+any others. A score equal to the threshold is kept. Extra columns are carried through; one that is named like
 a result of ``judge`` is replaced there, and kept by ``keep``. A repeated row is
 scored like any other row. An empty table gives an empty result.
 """
@@ -27,10 +28,13 @@ from tessella.llm.common import SPACE, word_array
 #: Hash buckets of the two multinomials; a fixed size, whatever the corpus is.
 BUCKETS = 1 << 16
 #: A document is kept when its mean log ratio is at least this.
-THRESHOLD = -0.15
+THRESHOLD = -0.05
 #: Added to each bucket's count, as a share of a mean bucket.
 SMOOTHING = 0.5
 
+#: Columns that ``judge`` adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -147,15 +151,17 @@ def with_rules(df: DataFrame, text: str = "text") -> DataFrame:
 def judge(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the counts, ``llr`` (mean log ratio), ``base_failed`` and ``kept``."""
     weights = gram_weights(docs, target_ids, doc_id=doc_id, text=text, buckets=buckets)
-    g = f"{_T}grams"
+    g, verdict = f"{_T}grams", f"{_T}verdict"
     out = with_rules(with_hashes(docs, text, buckets), text)
     out = out.withColumn(f"{_T}w", weights.scalar())
     total = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col(f"{_T}w"), b))
     out = out.withColumn("llr", F.when(F.size(g) > 0, total / F.size(g)).otherwise(F.lit(0.0)))
-    # not deterministic in name only: else Catalyst pushes a filter on the verdict below
-    # the projections and copies the hashing into it, once per use and per word
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.monotonically_increasing_id() >= 0))
-    return out.drop(*[c for c in out.columns if c.startswith(_T)])
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # all results become one generated value: a filter on one of them stays above it, where
+    # Catalyst would else copy the hashing into the filter, once per use and per word
+    own = [c for c in docs.columns if c not in RESULTS]
+    out = out.select(*[F.col(f"`{c}`") for c in own], F.explode_outer(F.array(F.struct(*RESULTS))).alias(verdict))
+    return out.select(*[F.col(f"`{c}`") for c in own], f"{verdict}.*")
 
 
 def keep(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, jaccard_join, licences, mixing, packing, quality_model, quality_rules, repeats, secrets, vector_search
+from tessella.llm.common import bounded_batches
 from tessella.sources.tables import table
 
 
@@ -21,11 +22,17 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, in a session whose Python batches are bounded."""
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
-    out = quality_model.score(docs, quality_model.fit(docs, labels))
+    out = quality_model.score(docs, quality_model.fit(docs, labels, metadata=["n_chars"]), metadata=["n_chars"])
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -45,33 +52,34 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(table(spark, sf_dir, "documents"))
+    return jaccard_join.link(documents(spark, sf_dir))
 
 
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(table(spark, sf_dir, "documents")).drop("removed")
+    return repeats.remove(documents(spark, sf_dir)).drop("removed")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    out = quality_rules.judge(documents(spark, sf_dir), trusted(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "found.n_assign", "found.n_access", "found.n_hex", "found.base_sha256", "found.spans")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
@@ -83,7 +91,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(documents(spark, sf_dir))
 
 
 QUERIES = {
@@ -104,25 +112,20 @@ _TURNS = """t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM co
 
 
 def _licence_sql() -> str:
-    """Both cuts, the sentence table and the rules, with the end marks made explicit."""
-    known = ", ".join(f"'{s}'" for s in licences.SENTENCES.values())
-    ids = ", ".join(f"'{s}': '{k}'" for k, s in licences.SENTENCES.items())
-    ended = "regexp_replace(text, '([.!?;:])\\s+', '\\1' || chr(1), 'g')"
-
-    def cut(more: str) -> str:
-        marked = f"regexp_replace({ended}, '{more}', chr(1), 'g')"
-        clean = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
-        found = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {clean}), lambda y: list_contains([{known}], y))"
-        return f"list_transform({found}, lambda z: (MAP {{{ids}}})[z])"
-
-    def rule(name: str, wanted) -> str:
-        pattern = ".*".join(f"\\|{x}\\|" for x in wanted)
-        return f"CASE WHEN regexp_matches(sa, '{pattern}') OR regexp_matches(sb, '{pattern}') THEN '{name}' END"
-
-    hits = ", ".join(rule(n, r) for n, r in licences.RULES)
-    return f"""WITH c AS (SELECT doc_id, {cut("\\n")} AS a, {cut("\\n\\s*\\n")} AS b FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-s AS (SELECT *, '|' || array_to_string(a, '||') || '|' AS sa, '|' || array_to_string(b, '||') || '|' AS sb FROM c)
-SELECT doc_id, greatest(len(a), len(b))::BIGINT AS n_sentences, array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda h: h IS NOT NULL))), ',') AS licences FROM s"""
+    """Every known sentence looked for on its own in each sentence, then the rules as a chain of steps."""
+    clean = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+    clean = f"' ' || regexp_replace({clean}, '(^| )(not|never) ([^ ]+ )?under ', '\\1\\2 ', 'g') || ' '"
+    marked = "regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n\\s*\\n', chr(1), 'g')"
+    table = ", ".join(f"{{'i': '{k}', 's': ' {s} '}}" for k, s in licences.SENTENCES.items())
+    at = f"list_transform(list_filter([{table}], lambda k: contains(y, k.s)), lambda k: {{'p': strpos(y, k.s), 'i': k.i}})"
+    named = f"flatten(list_transform(list_transform(string_split({marked}, chr(1)), lambda x: {clean}), lambda y: list_transform(list_sort({at}), lambda h: h.i)))"
+    steps = [f"WITH c AS (SELECT doc_id, {named} AS ids FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))", "s0 AS (SELECT doc_id, len(ids) AS n, '|' || array_to_string(ids, '||') || '|' AS q, []::VARCHAR[] AS l FROM c)"]
+    for k, (name, wanted) in enumerate(licences.RULES):
+        found = ".*?".join(f"\\|{x}\\|" for x in wanted)
+        parts = "(.*?)".join(f"\\|{x}\\|" for x in wanted)
+        rest = "".join(f"\\{i}" for i in range(1, len(wanted)))
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT doc_id, n, CASE WHEN q = '||' THEN q ELSE regexp_replace(q, '{parts}', '{rest}', 'g') END AS q, CASE WHEN q <> '||' AND regexp_matches(q, '{found}') THEN list_append(l, '{name}') ELSE l END AS l FROM s{k})")
+    return ",\n".join(steps) + f"\nSELECT doc_id, n::BIGINT AS n_sentences, array_to_string(list_sort(list_distinct(l)), ',') AS licences FROM s{len(licences.RULES)}"
 
 
 #: SQL cannot say a trained model, 64-bit hashed counts, hashed rounding, connected

@@ -122,14 +122,28 @@ def test_chat_round_trip(spark):
 
 def test_chat_layouts(spark):
     said = ['{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"response":"b","prompt":"a"}', '{"instruction":"a","input":"","output":"b"}', '{"instruction":"a","output":"b"}', '{"system":"","prompt":"a","response":"b"}']
-    df = spark.createDataFrame([(x,) for x in [*said, '{"odd":1}', "no json", None]], "j string")
-    got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical_json(df, "j").collect()]
-    assert got == [[("user", "a"), ("assistant", "b")]] * 6 + [None] * 3
+    # extra keys, kinds mixed in one list, a text in parts, a leading system field
+    said += ['{"messages":[{"role":"user","content":"a","name":"x"},{"from":"gpt","value":"b","weight":1}],"id":7}', '{"messages":[{"role":"user","content":[{"type":"text","text":"a"}]},{"role":"assistant","text":"b"}]}', '{"system":"","turns":[{"role":"user","text":"a"},{"role":"assistant","content":[{"text":""},{"text":"b"}]}]}']
+    odd = ['{"odd":1}', "no json", None, '{"messages":[{"role":"user","content":"a"},{"who":"x","what":"b"}]}', '{"messages":[{"role":"user","content":"a"},"b"]}', '{"messages":[{"role":"user","content":"a"},null]}']
+    df = spark.createDataFrame([(x,) for x in [*said, *odd, '{"messages":[]}']], "j string")
+    rows = chat_format.canonical_json(df, "j").collect()
+    got = [r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]] for r in rows]
+    assert got == [[("user", "a"), ("assistant", "b")]] * len(said) + [None] * len(odd) + [[]]
+    assert rows[0]["layout"] == rows[6]["layout"] == "messages" and rows[8]["layout"] == "system_turns"
     flat = spark.createDataFrame([("a", "b", 7)], "question string, answer string, id int")
     assert [tuple(t) for t in chat_format.canonical(flat, ["id"]).first()["turns"]] == [("user", "a"), ("assistant", "b")]
+    assert [tuple(t) for t in chat_format.canonical(flat).first()["turns"]] == [("user", "a"), ("assistant", "b")]
+    nested = spark.createDataFrame([(1, [("user", "n", [("text", "a"), ("text", "b")])]), (2, None)], "id int, messages array<struct<role:string,name:string,content:array<struct<type:string,text:string>>>>")
+    assert [[tuple(t) for t in r["turns"]] for r in chat_format.canonical(nested).orderBy("id").collect()] == [[("user", "ab")], []]
     assert chat_format.fingerprint(["b", "a"]) == chat_format.fingerprint(["a", "b"]) != chat_format.fingerprint(["a"])
 
 
+def test_loss_spans_lie_in_the_formatted_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "é</s>"), (1, 1, "assistant", "🙂 <s> x"), (1, 2, "assistant", ""), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    rows = {r["conv_id"]: r for r in chat_format.format_turns(chat_format.canonical(df)).collect()}
+    assert [rows[1]["formatted"][s["start"] : s["end"]] for s in rows[1]["loss_spans"]] == ["🙂 <\\s> x", ""] and rows[2]["loss_spans"] == []
+
+
 def test_chat_query(spark):
     got = {r["conv_id"]: r for r in queries.op2_chat_format(spark, "/root/testdata/sf0.001").collect()}
     text = "</s>[INST] ok [/INST]"
@@ -408,13 +422,36 @@ def test_mixing_meets_targets_closely(spark):
 # ---------------------------------------------------------------- 7
 
 
+MIT_TEXT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+BSD_2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice,\n   this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+BSD_3 = BSD_2 + "3. Neither the name of Some Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+BSD_4 = BSD_2 + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: x.\n\n4. Neither the name of Some Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+GPL = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+APACHE = "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n\n   Unless required by applicable law or agreed to in writing, software\n   distributed under the License is distributed on an \"AS IS\" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+
+
 def test_licences(spark, docs, empty):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     cases = {
         "no dot before\nReleased under the MIT License.": ["MIT"],
+        "This project is licensed under the MIT License.": ["MIT"],
+        "It is not licensed under the MIT License.": [],
+        "It is never under the MIT License": [],
         "Some text.\nLicensed under the Apache License, Version 2.0.\nMore. This work is licensed under the GNU General Public License, version 3.": ["Apache-2.0", "GPL-3.0"],
         "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
-        mit: ["MIT"],
+        "Under CC BY 4.0, and code under CC-BY-SA 4.0": ["CC-BY-4.0", "CC-BY-SA-4.0"],
+        "// SPDX-License-Identifier: Apache-2.0\nimport os": ["Apache-2.0"],
+        "# SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"],
+        MIT_TEXT: ["MIT"],
+        BSD_2: ["BSD-2-Clause"],
+        BSD_3: ["BSD-3-Clause"],
+        BSD_4: ["BSD-4-Clause"],
+        BSD_3 + "text between\n\n" + BSD_2: ["BSD-2-Clause", "BSD-3-Clause"],
+        BSD_3 + BSD_3 + MIT_TEXT: ["BSD-3-Clause", "MIT"],
+        LGPL: ["LGPL-2.1"],
+        GPL: ["GPL-3.0"],
+        APACHE: ["Apache-2.0"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": ["MPL-2.0"],
         "you may obtain a copy of the License at\nx. You may not use this file except in compliance with the License.": [],
         "the license is mentioned": [],
         "": [],
@@ -424,9 +461,29 @@ def test_licences(spark, docs, empty):
     got = {r["text"]: r["licences"] for r in licences.scan(df).collect()}
     assert got == cases
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
-    pattern = re.compile(licences.anchor_pattern(licences.SENTENCES))
+    import regex
+
+    pattern = regex.compile(licences.anchor_pattern(licences.SENTENCES))
     assert all(pattern.search(s) for s in licences.SENTENCES.values())
     assert all(x in licences.SENTENCES for _, rule in licences.RULES for x in rule)
+    # no known sentence lies in another or overlaps one, so a sentence has one reading
+    known = [s.split() for s in licences.SENTENCES.values()]
+    for a in known:
+        for b in known:
+            if a is not b:
+                assert f" {' '.join(a)} " not in f" {' '.join(b)} "
+                assert not any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b))))
+
+
+def test_license_sql_agrees(spark):
+    import duckdb
+
+    texts = [MIT_TEXT, BSD_2, BSD_3, BSD_4, BSD_3 + BSD_2, LGPL, GPL, APACHE, BSD_3 + GPL + BSD_3, "a. " + MIT_TEXT + APACHE, "not released under the mit license", "SPDX-License-Identifier: ISC", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (len(r["sentence_ids"]), ",".join(r["licences"])) for r in licences.scan(df).collect()}
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    assert got == {i: (n, x) for i, n, x in db.sql(queries.ORACLES["op7_license_scan"]).fetchall()}
 
 
 def test_license_query_oracle_lines(spark):
@@ -515,13 +572,50 @@ def test_top_k(spark):
         q = next(v for j, v in usable if j == i)
         s = sorted((-int(v @ q), j) for j, v in usable if j != i and len(v) == len(q))[:5]
         want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
-    for block in (4096, 3):
-        got = vector_search.top_k(df, df.where("vec_id % 50 = 0"), query_block=block)
+    for column, work in ((16384, 1 << 38), (3, 100)):
+        got = vector_search.top_k(df, df.where("vec_id % 50 = 0"), column=column, work=work)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert vector_search.top_k(df.limit(0), df.where("vec_id % 50 = 0")).count() == 0
     assert vector_search.top_k(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**20, 2.0**30, 2.0**60, 1e300])
+def test_top_k_is_exact_for_any_component(spark, size):
+    from fractions import Fraction
+    from math import floor
+
+    rng = random.Random(13)
+    rows = [(i, [rng.choice([-1, 1]) * size * rng.random() for _ in range(64)]) for i in range(120)]
+    rows += [(120 + i, rows[i][1]) for i in range(60)] + [(200, [0.5] * 64), (300 + 1, [0.25] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    edge = lambda s: max(min(s, (1 << 63) - 1), -(1 << 63))
+    want = []
+    for i in (0, 50, 100, 150, 200):
+        s = sorted((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in whole.items() if j != i)[:5]
+        want += [(i, k + 1, j, edge(-x)) for k, (x, j) in enumerate(s)]
+    assert sorted(tuple(r) for r in vector_search.top_k(df, df.where("vec_id % 50 = 0")).collect()) == want
+
+
+def test_copies_of_one_vector_and_few_exact_reads(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(0, 1, (3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    file = vector_search.approximate(df)
+    assert file.agg(F.sum("n")).first()[0] == 2000 + 6
+    q = np.floor(x * 256)
+    got = vector_search.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    for i in range(0, 3000, 50):
+        want = sorted((-int(q[i] @ v), j) for j, v in enumerate(q) if j != i)[:5]
+        assert sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == i) == want
+    cell = vector_search.Cell(np.array([-1]), q[:1].astype(np.int64) * 0 + rng.integers(-99, 99, (1, 32)), 5)
+    for r in file.collect():
+        cell.scan(np.frombuffer(r["ids"], "<i8"), r["far"], (r["cells"], r["low"], r["width"], r["exact"]))
+    assert cell.read < 700
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -540,7 +634,7 @@ def test_encoder_matches_the_library():
     path = queries.vocabulary()
     fast, slow = packing.Encoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
     rng = random.Random(11)
-    parts = ["the", " a", "é", "\n", "  ", "\t", "don't", "I'LL", "123", "٣", "½", "\x85", "\x1c", "🙂", "日本", "###", "﻿", " ", "x" * 40]
+    parts = ["<|endoftext|>", "<|endo", "the", " a", "é", "\n", "  ", "\t", "don't", "I'LL", "123", "٣", "½", "\x85", "\x1c", "🙂", "日本", "###", "﻿", " ", "x" * 40]
     for _ in range(300):
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
         assert list(fast(t)) == slow.encode(t, add_special_tokens=False).ids
