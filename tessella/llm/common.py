@@ -98,6 +98,51 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return out.drop("__range", "__r", "__before", "__at", *keys)
 
 
+class Identities:
+    """Ids under which every different text of a table is a document of its own.
+
+    Usually each id has one text and ids stay. Else ``rows`` has ``doc_id`` as
+    ``rank * most + place``: the rank of the id, times the largest number of texts
+    under one id, and the text's place among its id's; so the order of ids holds
+    and nothing overflows. Null ids stay null.
+    """
+
+    def __init__(self, base: DataFrame):
+        """``base`` has ``doc_id`` (long) and ``text``."""
+        h = F.xxhash64(F.coalesce("text", F.lit("")))
+        texts = base.where("doc_id is not null").select("doc_id", h.alias("h"))
+        kinds = texts.groupBy("doc_id").agg(F.count_distinct("h").alias("n")).where("n > 1")
+        self.most = kinds.agg(F.max("n")).first()[0] or 1
+        self.rows = base
+        if self.most == 1:
+            return
+        several = texts.join(kinds.select(F.col("doc_id").alias("k_id")), F.col("doc_id") == F.col("k_id"), "left_semi").distinct()
+        order = Window.partitionBy("doc_id").orderBy("h")
+        self.places = materialise(several.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), (F.row_number().over(order) - 1).alias("place_")), "id-places", "none")
+        ids = numbered(base.where("doc_id is not null").select("doc_id").distinct(), F.col("doc_id"))
+        self.ids = materialise(ids.select(F.col("doc_id").alias("i_id"), F.col("place").alias("rank_")), "id-ranks", "none")
+        placed = self.placed(base).join(self.ids, F.col("doc_id") == F.col("i_id"), "left")
+        self.rows = placed.select((F.col("rank_") * self.most + F.col("__tessella_place")).alias("doc_id"), "text")
+
+    def placed(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """``df`` with ``__tessella_place``, the place of a row's text among its id's texts."""
+        place = F.lit(0).cast("long")
+        if self.most > 1:
+            h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+            named = self.places.select(*[F.col(c).alias(f"__tessella_{c}") for c in self.places.columns])
+            df = df.join(named, (F.col(doc_id) == F.col("__tessella_r_id")) & (h == F.col("__tessella_r_h")), "left")
+            place = F.coalesce("__tessella_place_", place).cast("long")
+        return df.withColumn("__tessella_place", place).drop("__tessella_r_id", "__tessella_r_h", "__tessella_place_")
+
+    def back(self, df: DataFrame, *columns: str) -> DataFrame:
+        """``df`` with the table's own ids in the given columns."""
+        if self.most == 1:
+            return df
+        for c in columns:
+            df = df.join(self.ids, F.expr(f"`{c}` div {self.most}") == F.col("rank_"), "left").withColumn(c, F.col("i_id")).drop("i_id", "rank_")
+        return df
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Hand texts to Python in smaller batches than Spark's default, unless the
     session has chosen a size: the default's 10,000 long texts are too much for

@@ -34,9 +34,10 @@ still apart, and at last every pair that is still apart and may link; so no link
 that matters to a component is lost, and links inside a component are not listed.
 
 Edge cases: texts with fewer words than a shingle have one, the whole sequence; null,
-empty and blank texts have an empty set and link with nothing. Rows with equal
-ids are one document that holds each of its texts: their links are united. A
-null id takes no part in linking and gets a null component. Extra columns are
+empty and blank texts have an empty set and link with nothing. Very long texts
+have large sets like any other; of ties the smallest id names a component. Rows
+with equal ids are one document that holds each of its texts: their links are
+united. A null id takes no part in linking and gets a null component. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bytehash
 from tessella.llm.bytehash import LOWER, mix
-from tessella.llm.common import materialise, portable
+from tessella.llm.common import Identities, discard, materialise, portable
 from tessella.llm.components import connect
 
 WORDS = 4
@@ -329,7 +330,14 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    names = Identities(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    out = _link(names.rows, words, percent, names.most)
+    return names.back(out, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id")
+
+
+def _link(base: DataFrame, words: int, percent: int, most: int = 1) -> DataFrame:
+    """``link`` on rows whose ids have one text each; the ``most`` ids from each
+    multiple of it on are one document, whose texts' links are united."""
     digests = materialise(base.mapInArrow(lambda it: _digests(it, words), "doc_id long, n long, d1 long, d2 long"), "jaccard-sets")
     known = digests.where("n > 0 and doc_id is not null")
     classes = materialise(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
@@ -343,11 +351,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     wanted = groups.select(F.col("rep").alias("wanted")).distinct()
     members = materialise(base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(lambda it: _members(it, words), "rep long, n long, sketch binary, shingles array<long>"), "jaccard-members")
 
-    # an id with several texts ties their classes together; usually there is none
-    repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    own = known.join(repeated, "doc_id").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
-    low = own.groupBy(F.col("doc_id").alias("o")).agg(F.min("rep").alias("a"))
-    found = materialise(own.join(low, F.col("doc_id") == F.col("o")).where("rep <> a").select("a", F.col("rep").alias("b")), "jaccard-ties")
+    found = base.sparkSession.createDataFrame([], "a long, b long")
+    if most > 1:  # a document with several texts ties their classes together
+        own = known.withColumn("o", F.col("doc_id") - F.pmod("doc_id", F.lit(most))).join(classes, ["n", "d1", "d2"]).select("o", "rep").distinct()
+        low = own.groupBy(F.col("o").alias("o_")).agg(F.min("rep").alias("a"))
+        found = materialise(own.join(low, F.col("o") == F.col("o_")).where("rep <> a").select("a", F.col("rep").alias("b")), "jaccard-ties")
     labels = connect(found)
     sketched = members.select(F.col("rep").alias("id"), "n", "sketch")
     # first sets meet leaders of their groups; then what is left apart meets across
@@ -368,6 +376,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
         verified = materialise(full.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "jaccard-links")
         found = found.unionByName(verified)
         labels = connect(found)
+    discard(groups, members)
     classed = classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("label", "rep").alias("comp"))
     out = digests.join(classed, (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
@@ -375,17 +384,26 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
 
 
 def keep(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the smallest id.
+    """The rows of ``docs`` with one row of each group of linked texts: the smallest id.
 
-    Rows without an id stay. Of rows with equal ids one stays.
+    Every text is judged on its own: rows with one id and different texts are
+    different documents, and only those that another row stands for go (among
+    texts of one id the one of the smaller hash stays). Of rows that are equal in
+    id and text one stays. Rows without an id stay.
     """
-    linked = link(docs, doc_id=doc_id, text=text, words=words, percent=percent)
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__tessella_gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("__tessella_gone"), "left_anti")
-    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count()
-    if ids.where("count > 1").isEmpty():
-        return left
-    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(doc_id).isNull()))
+    names = Identities(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    linked = _link(names.rows, words, percent)
+    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    place = F.pmod("doc_id", F.lit(names.most)).cast("long")
+    gone = names.back(gone.withColumn("place", place), "doc_id").select(F.col("doc_id").alias("__tessella_gone"), F.col("place").alias("__tessella_gone_place"))
+    again = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__tessella_again")).count().where("count > 1").select("__tessella_again")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = names.placed(docs.select(*own, F.col(doc_id).cast("long").alias("__tessella_id")), "__tessella_id", text)
+    left = rows.join(gone, (F.col("__tessella_id") == F.col("__tessella_gone")) & (F.col("__tessella_place") == F.col("__tessella_gone_place")), "left_anti")
+    # only rows of repeated ids are compared with each other
+    repeated = left.join(again, F.col("__tessella_id") == F.col("__tessella_again"), "left_semi").dropDuplicates(["__tessella_id", "__tessella_place"])
+    single = left.join(again, F.col("__tessella_id") == F.col("__tessella_again"), "left_anti")
+    return single.unionByName(repeated).select(*own)
 
 
 portable(__name__)

@@ -196,7 +196,8 @@ def _ids(text: Column, sentences: Mapping[str, str]) -> Column:
     """Ids of the known sentences that each sentence is or carries, in text order."""
     known = sorted(set(sentences.values()), key=lambda s: (-len(s), s))
     named = F.create_map(*[F.lit(x) for s in known for x in (s, next(k for k, v in sentences.items() if v == s))])
-    pattern = F.lit(f"(?<![^ ])({'|'.join(known)})(?![^ ])")
+    # a look ahead at each word, so that sentences which share words are both seen
+    pattern = F.lit(f"(?<![^ ])(?=({'|'.join(known)})(?![^ ]))")
     found = F.transform(F.split(text, ENDS), lambda s: F.array_distinct(F.regexp_extract_all(normalise(s), pattern, F.lit(1))))
     return F.transform(F.flatten(found), lambda s: F.element_at(named, s))
 

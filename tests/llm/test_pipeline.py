@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
     kept = {r["doc_id"] for r in quality_rules.judge(before, queries.trusted(spark, SF)).where("kept").collect()}
     assert {r["doc_id"] for r in after.collect()} == kept
     before, after = seen["near_duplicates"]
-    one = {r["component_id"] for r in jaccard_join.link(before).collect()}
+    one = {r["component_id"] for r in jaccard_join.link(before, words=5, percent=80).collect()}
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(one)
     before, after = seen["secret_scan"]
     assert before.count() == after.count()
@@ -40,6 +40,27 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == after.agg(F.sum("length")).first()[0]
 
 
+def test_awkward_tables(spark, tmp_path):
+    """Nulls in every column, an empty and a long text, repeated ids and rows, clashing names; and no rows."""
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(40).collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, place_ int, found string, copies string, block string"
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 3 == 0 else f"s{i % 2}", len(t), 1, "f", "c", "b") for i, t in enumerate(good)]
+    rows += [rows[3], (4, good[9] + " and more of it", "en", "s0", None, None, None, None, None), (None, good[5], None, None, None, None, None, None, None), (50, None, *[None] * 7), (51, "", *[None] * 7), (52, " ".join(good) * 3, "en", "s1", 7, *[None] * 4), tuple([None] * 9)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        seen = table
+        for step, stage in corpus_pipeline.STAGES:
+            stage(spark, seen, SF).write.parquet(str(tmp_path / f"{name}-{step}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{step}"))
+            if step != "packing":
+                assert out.dtypes == docs.dtypes
+            if step == "near_duplicates":
+                ids = [r["doc_id"] for r in out.collect()]
+                assert len([i for i in ids if i == 3]) <= 1
+            seen = out
+        assert (seen.count() > 0) == (name == "some")
+
+
 def test_registered():
     import __spark_entry__ as entry
 
