@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessella import dims
-from tessella.operators import readings
+from tessella.operators import filing, layers, readings
 from tessella.sources import store
 
 
@@ -37,16 +37,19 @@ def export(spark: SparkSession, root: str, out: str) -> int:
     return 0
 
 
-def estimate(spark: SparkSession, root: str, model: str, overhead: int) -> int:
-    """Print the estimate of every layer in scope."""
+def estimate(spark: SparkSession, root: str, model: str, overhead: int | None) -> int:
+    """Print the estimate of every layer in scope, over its body pages, row by row."""
     s = store.Store(spark, root)
     if not s.exists("document_pages"):
         return 1
-    pages, layers = s.read("document_pages"), s.read("document_layers")
-    scope = layers.where(F.col("layer_id").isin(*dims.EXTRACTABLE_LAYERS)).select("document_id", "qualified_id", "start_page", "end_page")
-    inside = pages.join(scope, "document_id").where(F.col("pdf_page").between(F.col("start_page"), F.col("end_page")))
-    readings.estimate(inside, ["document_id", "qualified_id"], dims.model_prices(spark), overhead, model).orderBy("document_id", "qualified_id").show(1000, truncate=False)
-    return 2 if not inside.where("text_layer_status = 'image_only'").isEmpty() else 0
+    ingested = {n: s.read(n) for n in ("document_pages", "document_layers", "document_regions")}
+    overhead = readings.field_overhead(dims.field_registry(spark)) if overhead is None else overhead
+    rows = filing.estimates(ingested, overhead, dims.model_prices(spark), model).orderBy("document_id", "qualified_id")
+    print(*rows.columns, sep="\t")
+    for row in rows.toLocalIterator():
+        print(*row, sep="\t")
+    blind = layers.unreadable_in_scope(ingested["document_pages"], ingested["document_layers"], ingested["document_regions"])
+    return 0 if blind.isEmpty() else 2
 
 
 def main(args: list[str]) -> int:
@@ -58,7 +61,7 @@ def main(args: list[str]) -> int:
     p = sub.add_parser("estimate")
     p.add_argument("store")
     p.add_argument("--model", default=dims.MODEL_PRICES[0][0])
-    p.add_argument("--overhead", type=int, default=0)
+    p.add_argument("--overhead", type=int, default=None, help="tokens of a request beside its pages; by default what naming the fields takes")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("tessella").getOrCreate()
     return export(spark, a.store, a.out) if a.what == "export" else estimate(spark, a.store, a.model, a.overhead)

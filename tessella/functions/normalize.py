@@ -6,6 +6,8 @@ status (ok, ambiguous, unparseable, empty), a reason and a qualifier.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,13 +81,19 @@ def currency(raw: Column) -> Column:
     return _empty(raw, F.when(code.isNull(), outcome(UNPARSEABLE, reason="unknown currency")).otherwise(outcome(OK, text=code)))
 
 
+def _shape(date_format: str) -> str:
+    """A pattern that every text of a date format matches."""
+    return "^" + re.sub("y+|M+|d+", lambda m: r"[+-]?\d+" if m[0][0] == "y" or len(m[0]) < 3 else r"\D+", date_format) + "$"
+
+
 def _parse_date(text: Column) -> Column:
     """ISO text of a date in one of the known formats."""
     bare = F.regexp_replace(text, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
     spaced = collapse(F.replace(bare, F.lit(","), F.lit(", ")))
     forms = F.array(spaced, F.replace(spaced, F.lit(", "), F.lit(" ")))
-    # a lambda, so that the text is prepared once and not once per format
-    parsed = F.transform(forms, lambda c: F.coalesce(*[F.try_to_date(c, f) for f in DATE_FORMATS]))
+    # a lambda, so that the text is prepared once and not once per format; a parse that fails
+    # costs far more than a pattern, so a format is tried on texts of its shape only
+    parsed = F.transform(forms, lambda c: F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_date(c, f)) for f in DATE_FORMATS]))
     return F.date_format(F.get(F.filter(parsed, lambda d: d.isNotNull()), F.lit(0)), "yyyy-MM-dd")
 
 

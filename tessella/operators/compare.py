@@ -7,7 +7,7 @@ registry is a join on the field name, for category, criticality and type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import dims
@@ -161,9 +161,14 @@ def compare(rows: DataFrame, registry: DataFrame | None = None, *, summary: str
     return met.withColumns({"classification": cls, "reason": F.col("_c.reason"), "class_rank": rank[cls], "needs_review": wants}).drop("_c")
 
 
+def triage_ranked(compared: DataFrame) -> DataFrame:
+    """Add ``place`` in each document: by category, class and name; unknown categories last."""
+    order = Window.partitionBy("document_id").orderBy(F.coalesce("category_rank", F.lit(len(dims.CATEGORY_ORDER))), "class_rank", "field_name")
+    return compared.withColumn("place", F.row_number().over(order))
+
+
 def in_triage_order(compared: DataFrame) -> DataFrame:
-    """By category, class and name; unknown categories last."""
-    return compared.orderBy("document_id", F.coalesce("category_rank", F.lit(len(dims.CATEGORY_ORDER))), "class_rank", "field_name")
+    return triage_ranked(compared).orderBy("document_id", "place").drop("place")
 
 
 def class_counts(compared: DataFrame) -> DataFrame:

@@ -51,12 +51,17 @@ def ingest(raw_pages: DataFrame, files: DataFrame, run_id: str, *, signatures=di
     }
 
 
+def _body(ingested: dict[str, DataFrame], layer_ids: Sequence[str]) -> DataFrame:
+    """Body pages of the layers in scope."""
+    scope = ingested["document_layers"].where(F.col("layer_id").isin(list(layer_ids)))
+    pages_ = ingested["reconciled"] if "reconciled" in ingested else ingested["document_pages"]
+    return layers.body_pages(pages_.select("document_id", "pdf_page", "char_count", "text_layer_status"), scope, ingested["document_regions"]).where("qualified_id is not null")
+
+
 def requests(ingested: dict[str, DataFrame], overhead_tokens: int = 0, layer_ids: Sequence[str] = dims.EXTRACTABLE_LAYERS) -> DataFrame:
     """Requests of each layer in scope: chunk_index and page_map over its body pages."""
-    scope = ingested["document_layers"].where(F.col("layer_id").isin(list(layer_ids)))
-    body = layers.body_pages(ingested["reconciled"].select("document_id", "pdf_page", "char_count"), scope, ingested["document_regions"]).where("qualified_id is not null")
     keys = ["document_id", "layer_id", "qualified_id"]
-    packed = readings.pack_pages(body, keys, budget=readings.token_budget(overhead_tokens))
+    packed = readings.pack_pages(_body(ingested, layer_ids), keys, budget=readings.token_budget(overhead_tokens))
     return packed.select(*keys, F.posexplode("chunks").alias("chunk_index", "page_map"))
 
 
@@ -68,20 +73,52 @@ def asked(ingested: dict[str, DataFrame], packed: DataFrame, registry: DataFrame
     return rows.select("document_id", F.col("qualified_id").alias("qualified_layer_id"), "chunk_index", "field_name", "page_map")
 
 
-def extract(ingested: dict[str, DataFrame], model_readings: DataFrame, run_id: str, *, registry: DataFrame | None = None, scope: DataFrame | None = None, overhead_tokens: int = 0, compose: bool = True) -> DataFrame:
-    """Controlled, reconciled fields of all documents, with inapplicable fields once each."""
+def refusals(ingested: dict[str, DataFrame], packed: DataFrame, estimates: DataFrame | None = None, ceiling: float | None = None) -> DataFrame:
+    """``document_id, reason`` of documents that must not be read: no layer in scope,
+    or a high bound of the cost beyond the ceiling."""
+    without = ingested["documents"].select("document_id").join(packed.select("document_id").distinct(), "document_id", "left_anti")
+    out = without.withColumn("reason", F.lit("no layer to read"))
+    if ceiling is not None:
+        dear = readings.within_ceiling(estimates, ceiling).where(~F.col("allowed"))
+        out = out.unionByName(dear.select("document_id", F.concat(F.lit("estimated cost of up to "), F.round("cost_high", 2).cast("string"), F.lit(" is beyond the ceiling")).alias("reason")))
+    return out
+
+
+def estimates(ingested: dict[str, DataFrame], overhead_tokens: int, prices: DataFrame, model_id: str = "standard", layer_ids: Sequence[str] = dims.EXTRACTABLE_LAYERS) -> DataFrame:
+    """Cost bounds of each layer in scope, over the body pages that would be sent."""
+    body = _body(ingested, layer_ids)
+    return readings.estimate(body, ["document_id", "qualified_id"], prices, overhead_tokens, model_id)
+
+
+def extract(ingested: dict[str, DataFrame], model_readings: DataFrame, run_id: str, *, registry: DataFrame | None = None, scope: DataFrame | None = None, overhead_tokens: int = 0, compose: bool = True, refused: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """Controlled, reconciled fields of all documents, with inapplicable fields once each.
+
+    Documents in ``refused`` (document_id, reason) get no rows. ``failures``
+    (document_id, qualified_layer_id, reason) are layers whose requests failed:
+    their fields are unresolved and say why, other layers are not touched.
+    """
     spark = model_readings.sparkSession
     registry = dims.field_registry(spark) if registry is None else registry
     scope = dims.layer_scope(spark) if scope is None else scope
     wanted = asked(ingested, requests(ingested, overhead_tokens), registry, scope)
+    structures = ingested["structures"]
+    if refused is not None:
+        wanted = wanted.join(refused.select("document_id").distinct(), "document_id", "left_anti")
+        structures = structures.join(refused.select("document_id").distinct(), "document_id", "left_anti")
+    if failures is not None:
+        model_readings = model_readings.join(failures.select("document_id", "qualified_layer_id").distinct(), ["document_id", "qualified_layer_id"], "left_anti")
     records = readings.to_records(readings.index_readings(model_readings.drop("page_map"), wanted)).withColumn("run_id", F.lit(run_id))
+    if failures is not None:
+        why = failures.groupBy("document_id", F.col("qualified_layer_id").alias("document_layer")).agg(F.min("reason").alias("_why"))
+        told = F.when(F.col("_why").isNotNull(), F.array(F.concat(F.lit("the layer's request failed: "), F.col("_why")))).otherwise(F.col("notes"))
+        records = records.join(why, ["document_id", "document_layer"], "left").withColumn("notes", told).drop("_why")
     placed = layers.with_locators(records, ingested["reconciled"], ingested["document_layers"], compose)
     text = ingested["reconciled"].select("document_id", "pdf_page", F.col("text").alias("page_text"))
     checked = controls.apply_controls(placed.join(text, ["document_id", "pdf_page"], "left"), registry, compose=compose)
     met = readings.reconcile(readings.keep_omitted(checked, records))
     blind = layers.unreadable_in_scope(ingested["reconciled"], ingested["document_layers"], ingested["document_regions"])
     met = readings.qualify_absences(met, blind)
-    absent = controls.not_applicable_rows(ingested["structures"], registry, F.lit(run_id))
+    absent = controls.not_applicable_rows(structures, registry, F.lit(run_id))
     return schemas.conform(met.unionByName(absent, allowMissingColumns=True), schemas.EXTRACTED_FIELDS)
 
 

@@ -16,7 +16,6 @@ from tessella.functions.text import blank_to_null, number_text
 
 CHARS_PER_TOKEN = 2.9
 CONTEXT_TOKENS, OUTPUT_TOKENS, USABLE = 1_000_000, 32_000, 0.85
-IMAGE_PAGES = 600
 OUTPUT_LOW, OUTPUT_HIGH = 20_000, 45_000
 
 
@@ -77,6 +76,12 @@ def estimate(pages: DataFrame, keys: Sequence[str], prices: DataFrame, overhead_
     return out.select(*keys, "pages", "requests", "input_tokens", cost(OUTPUT_LOW).alias("cost_low"), cost(OUTPUT_HIGH).alias("cost_high"))
 
 
+def field_overhead(registry: DataFrame) -> int:
+    """Tokens that naming the asked fields takes in a request."""
+    said = registry.agg(F.sum(F.length("field_name") + F.length("value_kind") + 4)).first()[0] or 0
+    return int(said / CHARS_PER_TOKEN) + 1
+
+
 def within_ceiling(estimates: DataFrame, ceiling: float) -> DataFrame:
     """Per document whether the high bound stays below the ceiling."""
     return estimates.groupBy("document_id").agg(F.sum("cost_low").alias("cost_low"), F.sum("cost_high").alias("cost_high")).withColumn("allowed", F.col("cost_high") <= ceiling)

@@ -16,13 +16,23 @@ from tessella.operators.compare import attempted, shown
 COLUMNS = ("document_id", "event", "field_name", "timeline_section", "section_rank", "ordinal", "kind", "basis", "resolved_date", "stated_as", "derivation", "layer", "page", "section_ref", "evidence", "locator_uri", "status", "review_status", "preferred_value")
 
 
+def _mentioned(compared: DataFrame) -> tuple:
+    """Whether a row is an entry, and its reading: the preferred one, else one that was tried."""
+    tried = F.coalesce(attempted(F.col("agreement")), F.lit(False)), F.coalesce(attempted(F.col("summary")), F.lit(False))
+    reading = F.coalesce("preferred", F.when(tried[0], F.col("agreement")), F.when(tried[1], F.col("summary")))
+    return (F.col("classification") != "not_applicable") & (F.col("preferred").isNotNull() | tried[0] | tried[1]), reading
+
+
+def _stated():
+    return F.coalesce(F.when(F.length("_r.raw_value") > 0, F.col("_r.raw_value")), F.col("preferred_value"))
+
+
 def entries(compared: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
     """Extracted entries: milestones that apply and that some source mentions."""
     milestones = dims.milestones(compared.sparkSession) if milestones is None else milestones
     m = milestones.withColumnRenamed("field_name", "_field")
-    tried = F.coalesce(attempted(F.col("agreement")), F.lit(False)), F.coalesce(attempted(F.col("summary")), F.lit(False))
-    rows = compared.where(F.col("classification") != "not_applicable").where(F.col("preferred").isNotNull() | tried[0] | tried[1]).join(m, F.col("field_name") == F.col("_field"))
-    r = F.coalesce("preferred", F.when(tried[0], F.col("agreement")), F.when(tried[1], F.col("summary")))
+    said, r = _mentioned(compared)
+    rows = compared.where(said).join(m, F.col("field_name") == F.col("_field"))
     rows = rows.withColumns({"_r": r, "preferred_value": shown(F.col("preferred"))})
     iso = F.col("preferred.value_text").rlike(ISO_DATE)
     kind = (
@@ -34,7 +44,7 @@ def entries(compared: DataFrame, milestones: DataFrame | None = None) -> DataFra
     return rows.select(
         "document_id", "event", "field_name", "timeline_section", "section_rank", "ordinal", kind.alias("kind"), F.lit("extracted").alias("basis"),
         F.when(iso, F.try_to_date("preferred.value_text", "yyyy-MM-dd")).alias("resolved_date"),
-        F.coalesce(F.when(F.length("_r.raw_value") > 0, F.col("_r.raw_value")), F.col("preferred_value")).alias("stated_as"),
+        _stated().alias("stated_as"),
         F.lit(None).cast("string").alias("derivation"), F.col("_r.document_layer").alias("layer"), F.col("_r.page").alias("page"), F.col("_r.section").alias("section_ref"),
         F.col("_r.evidence").alias("evidence"), F.col("_r.locator_uri").alias("locator_uri"), F.col("_r.status").alias("status"), F.col("_r.review_status").alias("review_status"), "preferred_value",
     )
@@ -70,21 +80,31 @@ def calculated(timeline: DataFrame) -> DataFrame:
     return timeline.where("basis = 'calculated'")
 
 
-def horizon(timeline: DataFrame, compared: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
-    """One row per document: base, extension and total days, dates and notes."""
+def horizon(compared: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """One row per document: base, extension and total days, dates and notes.
+
+    One aggregation over the compared fields; an extension clause is read once a
+    document, after it.
+    """
     milestones = dims.milestones(compared.sparkSession) if milestones is None else milestones
-    date_of = lambda f: F.max(F.when((F.col("field_name") == f) & (F.col("basis") == "extracted"), F.col("resolved_date")))
-    clause = (F.col("field_name") == "extension_conditions") & (F.col("basis") == "extracted")
-    rolled = timeline.groupBy("document_id").agg(
-        date_of("agreement_date").alias("signing_date"),
-        date_of("outside_date").alias("outside_date"),
-        F.max(F.when(F.col("basis") == "calculated", F.col("resolved_date"))).alias("final_outside_date"),
-        F.array_sort(F.collect_list(F.when(F.col("basis") == "calculated", F.col("resolved_date")))).alias("extension_dates"),
-        F.max(F.when(clause, F.col("kind"))).alias("extension_kind"),
-        F.max(F.when(clause, F.col("stated_as"))).alias("extension_stated_as"),
+    waits = milestones.where("default_kind = 'conditional'").select(F.col("field_name").alias("_wait")).distinct()
+    known = milestones.select(F.col("field_name").alias("_field")).distinct()
+    said, r = _mentioned(compared)
+    rows = compared.join(F.broadcast(known), F.col("field_name") == F.col("_field"), "left").join(F.broadcast(waits), F.col("field_name") == F.col("_wait"), "left")  # milestones are a short list
+    rows = rows.withColumns({"_said": said & F.col("_field").isNotNull(), "_r": r, "preferred_value": shown(F.col("preferred"))})
+    iso = F.when(F.col("preferred.value_text").rlike(ISO_DATE), F.try_to_date("preferred.value_text", "yyyy-MM-dd"))
+    of = lambda f, v: F.max(F.when(F.col("_said") & (F.col("field_name") == f), v))
+    out = rows.groupBy("document_id").agg(
+        of("agreement_date", iso).alias("signing_date"),
+        of("outside_date", iso).alias("outside_date"),
+        of("extension_conditions", extension_kind(F.col("preferred_value"))).alias("extension_kind"),
+        of("extension_conditions", _stated()).alias("extension_stated_as"),
+        F.count_if(F.col("_wait").isNotNull() & F.col("preferred").isNotNull()).alias("outstanding_conditions"),
     )
-    waits = milestones.where("default_kind = 'conditional'").select("field_name")
-    open_ = compared.join(waits, "field_name", "left_semi").where("preferred is not null").groupBy("document_id").agg(F.count(F.lit(1)).alias("outstanding_conditions"))
+    out = out.withColumn("_p", F.when(F.col("outside_date").isNotNull(), extension(F.col("extension_stated_as"))))
+    dates = F.transform(F.sequence(F.lit(1), F.col("_p.count")), lambda i: F.date_add("outside_date", i * step_days(F.col("_p"))))
+    out = out.withColumn("extension_dates", F.coalesce(F.array_sort(F.when(F.col("_p").isNotNull(), dates)), F.array().cast("array<date>"))).drop("_p")
+    out = out.withColumn("final_outside_date", F.array_max("extension_dates"))
     base = F.date_diff("outside_date", "signing_date")
     more = F.date_diff("final_outside_date", "outside_date")
     notes = F.array(
@@ -92,8 +112,7 @@ def horizon(timeline: DataFrame, compared: DataFrame, milestones: DataFrame | No
         F.when(F.col("extension_kind").isNotNull() & more.isNull(), F.lit("extension found but not quantified; the window is the unextended one")),
         F.when(more.isNotNull(), F.lit("the extended outside date is calculated from the clause")),
     )
-    out = compared.select("document_id").distinct().join(rolled, "document_id", "left").join(open_, "document_id", "left")
-    return out.withColumns({"base_days": base, "extension_days": more, "total_days": base + F.coalesce(more, F.lit(0)), "outstanding_conditions": F.coalesce("outstanding_conditions", F.lit(0)), "is_complete": F.col("signing_date").isNotNull() & F.col("outside_date").isNotNull(), "notes": F.array_compact(notes)})
+    return out.withColumns({"base_days": base, "extension_days": more, "total_days": base + F.coalesce(more, F.lit(0)), "is_complete": F.col("signing_date").isNotNull() & F.col("outside_date").isNotNull(), "notes": F.array_compact(notes)})
 
 
 def numbered(timeline: DataFrame) -> DataFrame:

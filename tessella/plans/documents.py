@@ -26,18 +26,34 @@ SIGNATURES = (
 )
 
 
-def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filing_pages(spark: SparkSession, sf_dir: str, **narrow) -> DataFrame:
+    """Documents as pages. ``narrow`` columns are made from the text before pages are
+    numbered, and then only they pass through the shuffle; else texts meet their
+    numbers by document id, which no source can skew."""
     docs = table(spark, sf_dir, "documents")
     nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("source").alias("document_id"), nth.alias("pdf_page"), "text", (F.col("doc_id") % 2 == 0).alias("has_images"), "doc_id")
+    images = (F.col("doc_id") % 2 == 0).alias("has_images")
+    rows = docs.select(F.col("source").alias("document_id"), "source", "doc_id", images, *[c.alias(n) for n, c in narrow.items()])
+    rows = rows.withColumn("pdf_page", nth).drop("source")
+    if narrow:
+        return rows
+    texts = docs.select(F.col("doc_id").alias("t_id"), "text")
+    return rows.join(texts, F.col("doc_id") == F.col("t_id")).drop("t_id")
+
+
+def _chars():
+    return F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the columns that the integrity operators need."""
-    p = filing_pages(spark, sf_dir)
-    stripped = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    p = p.withColumn("char_count", F.length(stripped))
-    return p.withColumns({"text_layer_status": pages.text_layer_status(F.col("char_count"), F.col("has_images")), "content_hash": text.content_hash(F.col("text"))})
+    p = filing_pages(spark, sf_dir, char_count=_chars(), content_hash=text.content_hash(F.col("text")))
+    return p.withColumn("text_layer_status", pages.text_layer_status(F.col("char_count"), F.col("has_images")))
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text is their head, all that regions are told by."""
+    return filing_pages(spark, sf_dir, text=text.page_head(F.col("text"), layers.REGION_HEAD))
 
 
 def joined(pages_: str):
@@ -45,7 +61,8 @@ def joined(pages_: str):
 
 
 def page_status(spark, sf_dir):
-    return sized(spark, sf_dir).select("doc_id", F.col("char_count").cast("long").alias("char_count"), "text_layer_status")
+    d = table(spark, sf_dir, "documents").select("doc_id", _chars().alias("char_count"))
+    return d.select("doc_id", F.col("char_count").cast("long").alias("char_count"), pages.text_layer_status(F.col("char_count"), F.col("doc_id") % 2 == 0).alias("text_layer_status"))
 
 
 def content_dups(spark, sf_dir):
@@ -67,17 +84,17 @@ def inventory_rollup(spark, sf_dir):
 
 
 def marks(spark, sf_dir):
-    p = filing_pages(spark, sf_dir).where(F.col("text").rlike(BOUNDARY))
-    return p.select("document_id", "pdf_page", F.when(F.col("text").rlike("Apache"), "agreement").otherwise("exhibit").alias("layer_id"), F.lit(None).cast("string").alias("exhibit_number"), F.lit("licence line").alias("evidence"))
+    p = filing_pages(spark, sf_dir, marked=F.col("text").rlike(BOUNDARY), main=F.col("text").rlike("Apache")).where("marked")
+    return p.select("document_id", "pdf_page", F.when(F.col("main"), "agreement").otherwise("exhibit").alias("layer_id"), F.lit(None).cast("string").alias("exhibit_number"), F.lit("licence line").alias("evidence"))
 
 
 def layer_segments(spark, sf_dir):
-    out = layers.segment_layers(filing_pages(spark, sf_dir), marks(spark, sf_dir))
+    out = layers.segment_layers(filing_pages(spark, sf_dir, char_count=F.length("text")), marks(spark, sf_dir))
     return out.select("document_id", "qualified_id", "layer_id", F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def region_segments(spark, sf_dir):
-    p = filing_pages(spark, sf_dir)
+    p = headed(spark, sf_dir)
     whole = layers.segment_layers(p, marks(spark, sf_dir).where("false"))
     out = layers.segment_regions(p, whole, REGIONS)
     return out.select("document_id", "region_id", F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"))
@@ -85,7 +102,7 @@ def region_segments(spark, sf_dir):
 
 def body_pages(spark, sf_dir):
     """Pages of licence-led layers, without the regions that start with an article."""
-    p = filing_pages(spark, sf_dir)
+    p = headed(spark, sf_dir)
     parts = layers.segment_layers(p, marks(spark, sf_dir))
     skip = layers.segment_regions(p, layers.segment_layers(p, marks(spark, sf_dir).where("false")), REGIONS)
     skip = skip.withColumn("region_id", F.when(F.col("region_id") == "article", "table-of-contents").otherwise(F.col("region_id")))
@@ -150,7 +167,7 @@ def benchmark_quotes(spark, sf_dir):
 
 
 def pack_chunks(spark, sf_dir):
-    p = filing_pages(spark, sf_dir).withColumn("char_count", F.length("text"))
+    p = filing_pages(spark, sf_dir, char_count=F.length("text"))
     packed = readings.pack_pages(p, ["document_id"], budget=F.lit(5000).cast("long"), page_limit=F.lit(8))
     out = packed.select("document_id", F.posexplode("chunks").alias("chunk_index", "c"))
     return out.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c")[0].cast("long").alias("first_page"), F.size("c").cast("long").alias("n_pages"))
@@ -159,7 +176,7 @@ def pack_chunks(spark, sf_dir):
 def run_estimate(spark, sf_dir):
     from tessella import dims
 
-    p = filing_pages(spark, sf_dir).withColumn("char_count", F.length("text"))
+    p = filing_pages(spark, sf_dir, char_count=F.length("text"))
     e = readings.estimate(p, ["document_id"], dims.model_prices(spark), overhead_tokens=3000)
     return e.select("document_id", "pages", "requests", "input_tokens", F.round("cost_low", 6).alias("cost_low"), F.round("cost_high", 6).alias("cost_high"))
 

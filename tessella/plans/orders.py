@@ -133,7 +133,7 @@ def timeline_ext(spark, sf_dir):
 
 def timeline_horizon(spark, sf_dir):
     c = compare.compare(deal_rows(spark, sf_dir))
-    h = timeline.horizon(timeline.build(c), c)
+    h = timeline.horizon(c)
     return h.select("document_id", "base_days", "extension_days", "total_days", F.date_format("final_outside_date", "yyyy-MM-dd").alias("final_date"), "extension_kind", F.size("extension_dates").alias("n_dates"), F.col("outstanding_conditions").cast("long").alias("outstanding"), "is_complete")
 
 

@@ -1,13 +1,14 @@
 """Parquet store of ingested filings, extracted fields and their exports.
 
-Tables are partitioned by document, and writes replace whole partitions
-(dynamic overwrite), so one document or one run is replaced without touching
-another. A write of several tables goes to a staging folder first and is moved
-only when all of it succeeded.
+Tables lie in hash buckets of their documents under a manifest. A save of several
+tables is computed once, into folders of its own, and becomes visible by one new
+manifest.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,63 +21,132 @@ CHILDREN = ("document_pages", "document_layers", "document_regions", "integrity_
 EXPORT_KEYS = ("document_id", "field_name", "document_layer", "raw_value", "normalized_value", "currency", "status", "confidence", "page", "section", "evidence", "locator_uri", "review_status")
 
 
+def _bucket(document_id, n: int):
+    return F.pmod(F.xxhash64(document_id), F.lit(n)).cast("int")
+
+
 class Store:
-    """Tables under one root path, on any file system that Spark reaches."""
+    """Tables under one root path, on any file system that Spark reaches.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Rows lie in hash buckets of their document. A save writes the touched buckets
+    anew into folders of its own and then one manifest that names every bucket's
+    folder; readers follow the newest manifest. So a save is seen whole or not at
+    all, a failed one leaves the store as it was, and of two savers at the same time
+    the later one fails. The driver handles one entry per bucket, never per document.
+    """
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(conf), path
 
-    def exists(self, name: str) -> bool:
+    def _manifest(self) -> tuple[int, dict]:
+        """Number and content of the newest manifest: folders by bucket for each table."""
         fs, path = self._fs()
-        return fs.exists(path(self._path(name)))
+        at = path(f"{self.root}/_manifest")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
+        if not names:
+            return 0, {"buckets": self.buckets, "tables": {}}
+        stream = fs.open(path(f"{self.root}/_manifest/{names[-1]}"))
+        try:
+            return int(names[-1][:-5]), json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, content: dict) -> None:
+        fs, path = self._fs()
+        draft, final = path(f"{self.root}/_manifest/.{uuid.uuid4().hex}"), path(f"{self.root}/_manifest/{number:012d}.json")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError("the store was changed by another writer; save again")
 
-    def read(self, name: str, documents: Sequence[str] | None = None) -> DataFrame:
-        """A table, if wanted only some documents' partitions."""
-        df = self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
-        return df if documents is None else df.where(F.col("document_id").isin(list(documents)))
+    def exists(self, name: str) -> bool:
+        return name in self._manifest()[1]["tables"]
 
-    def _replace(self, name: str, df: DataFrame, parts: Sequence[str]) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self._path(name))
+    def read(self, name: str, documents: Sequence[str] | None = None) -> DataFrame:
+        """A table, if wanted only some documents' buckets."""
+        content = self._manifest()[1]
+        folders = content["tables"][name]
+        if documents is None:
+            return self._open(sorted(set(folders.values())))
+        wanted = {str(r[0]) for r in self.spark.createDataFrame([(d,) for d in documents], "d string").select(_bucket(F.col("d"), content["buckets"])).collect()}
+        some = sorted({f for b, f in folders.items() if b in wanted or not b.isdigit()}) or sorted(set(folders.values()))[:1]
+        return self._open(some).where(F.col("document_id").isin(list(documents)))
+
+    def _open(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def _replace(self, staged: Mapping[str, str], keys: DataFrame) -> None:
+        """Put staged rows in the place of those with the same keys, in all tables at once."""
+        number, content = self._manifest()
+        n, tables = content["buckets"], dict(content["tables"])
+        touched = [r[0] for r in keys.select(_bucket(F.col("document_id"), n).alias("b")).distinct().collect()]  # at most n
+        for name, at in staged.items():
+            rows, old = self.spark.read.parquet(at), dict(tables.get(name, {}))
+            before = sorted({old[str(b)] for b in touched if str(b) in old})
+            if before:
+                on = [c for c in keys.columns if c in rows.columns]
+                rows = self._open(before).join(keys.select(*on).distinct(), on, "left_anti").unionByName(rows, allowMissingColumns=True)
+            folder = f"{name}/{uuid.uuid4().hex}"
+            rows.withColumn("_bucket", _bucket(F.col("document_id"), n)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            fs, path = self._fs()
+            for b in touched:
+                old.pop(str(b), None)
+                if fs.exists(path(f"{self.root}/{folder}/_bucket={b}")):
+                    old[str(b)] = f"{folder}/_bucket={b}"
+            if not old:  # a table without rows keeps its columns
+                rows.limit(0).write.parquet(f"{self.root}/{folder}-none")
+                old["none"] = f"{folder}-none"
+            tables[name] = old
+        self._publish(number + 1, {"buckets": n, "tables": tables})
+
+    def _staged(self, tables: Mapping[str, DataFrame]) -> tuple[str, dict[str, str]]:
+        """Compute everything once, into a folder of this save alone."""
+        top = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{top}/{name}")
+        return top, {name: f"{top}/{name}" for name in tables}
+
+    def _save(self, tables: Mapping[str, DataFrame], first: str, keys: Sequence[str]) -> int:
+        top, fs = f"{self.root}/_staging", self._fs()
+        try:
+            top, staged = self._staged(tables)
+            given = self.spark.read.parquet(staged[first])
+            self._replace(staged, given.select(*keys).distinct())
+            return given.count()
+        finally:
+            if not top.endswith("/_staging"):
+                fs[0].delete(fs[1](top), True)
 
     def save_ingestion(self, tables: Mapping[str, DataFrame]) -> None:
-        """Replace documents and their child tables; extracted fields stay.
+        """Replace documents and their child tables, all or nothing; extracted fields stay.
 
-        Everything is computed into staging first, so a failure writes nothing.
-        A child table that is empty for a document also empties its partition.
+        A child table that is empty for a document also empties the stored one.
         """
-        staged = {n: f"{self.root}/_staging/{n}" for n in ("documents", *CHILDREN) if n in tables}
-        for name, path in staged.items():
-            tables[name].write.mode("overwrite").parquet(path)
-        fs, path = self._fs()
-        documents = [r[0] for r in self.spark.read.parquet(staged["documents"]).select("document_id").distinct().toLocalIterator()]
-        for name, at in staged.items():
-            for d in documents:
-                fs.delete(path(f"{self._path(name)}/document_id={d}"), True)
-            self._replace(name, self.spark.read.schema(tables[name].schema).parquet(at), ["document_id"])
-        fs.delete(path(f"{self.root}/_staging"), True)
+        self._save({n: tables[n] for n in ("documents", *CHILDREN) if n in tables}, "documents", ["document_id"])
 
     def save_extraction(self, rows: DataFrame) -> int:
         """Replace the rows of the same document and run; returns how many were written."""
-        self._replace("extracted_fields", rows, ["document_id", "run_id"])
-        keys = rows.select("document_id", "run_id").distinct()
-        return self.read("extracted_fields").join(keys, ["document_id", "run_id"], "left_semi").count()
+        return self._save({"extracted_fields": rows}, "extracted_fields", ["document_id", "run_id"])
 
     def record_run(self, runs: DataFrame) -> None:
         """Append runs that are not registered yet."""
         new = runs.join(self.read("runs"), "run_id", "left_anti") if self.exists("runs") else runs
-        new.dropDuplicates(["run_id"]).write.mode("append").parquet(self._path("runs"))
+        self.append("runs", new.dropDuplicates(["run_id"]))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Append to an overlay table (corrections, review decisions)."""
-        rows.write.mode("append").parquet(self._path(name))
+        """Append to an overlay table (runs, corrections, review decisions)."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        number, content = self._manifest()
+        tables = content["tables"] | {name: content["tables"].get(name, {}) | {f"more-{number + 1}": folder}}
+        self._publish(number + 1, content | {"tables": tables})
 
     def unseen(self, files: DataFrame) -> DataFrame:
         """Files whose checksum no stored document has."""
@@ -88,7 +158,7 @@ class Store:
 
     def fields(self, document_id: str, layer: str | None = None, run_id: str | None = None) -> DataFrame:
         """Fields of a document; all conditions reach the scan."""
-        df = self.read("extracted_fields").where(F.col("document_id") == document_id)
+        df = self.read("extracted_fields", [document_id])
         df = df if run_id is None else df.where(F.col("run_id") == run_id)
         df = df if layer is None else df.where(F.col("document_layer") == layer)
         return df.orderBy("category", "field_name", "document_layer")
@@ -132,7 +202,7 @@ def derived(rows: DataFrame, names: DataFrame | None = None) -> dict[str, DataFr
     """Comparison, timeline and scenarios of all documents, labelled by file name."""
     compared = compare.compare(rows)
     entries = timeline.build(compared)
-    horizons = timeline.horizon(entries, compared)
+    horizons = timeline.horizon(compared)
     inputs = pricing.financing(compared, pricing.found_values(rows, compared))
     out = {"comparison": compare.flat(compared), "timeline": entries, "hedging_scenarios": pricing.run(horizons, inputs)}
     return out if names is None else {k: v.join(names.select("document_id", "filename"), "document_id", "left") for k, v in out.items()}

@@ -251,13 +251,13 @@ def test_timeline_and_horizon(spark):
     t = timeline.build(c)
     made = timeline.calculated(t).orderBy("resolved_date").collect()
     assert [(r["resolved_date"].isoformat(), r["derivation"], r["page"]) for r in made] == [("2027-09-23", "2027-06-25 + 1 x 90 days", "A-9"), ("2027-12-22", "2027-06-25 + 2 x 90 days", "A-9")]
-    h = timeline.horizon(t, c).first()
+    h = timeline.horizon(c).first()
     assert (h["base_days"], h["extension_days"], h["total_days"], h["final_outside_date"], h["outstanding_conditions"]) == (365, 180, 545, dt.date(2027, 12, 22), 2)
     assert timeline.anchored(t).count() == 4 and timeline.unanchored(t).count() == 3
     months = timeline.calculated(timeline.build(compare.compare(deal(spark, "by three (3) months")))).first()
     assert months["resolved_date"].isoformat() == "2027-09-23" and "30 days" in months["derivation"]
     vague = compare.compare(deal(spark, "as agreed"))
-    assert timeline.horizon(timeline.build(vague), vague).first()["total_days"] == 365
+    assert timeline.horizon(vague).first()["total_days"] == 365
 
 
 GRID = {
@@ -275,7 +275,7 @@ def test_scenario_grid(spark):
     rows = deal(spark)
     c = compare.compare(rows)
     inputs = pricing.financing(c, pricing.found_values(rows, c))
-    run = pricing.run(timeline.horizon(timeline.build(c), c), inputs)
+    run = pricing.run(timeline.horizon(c), inputs)
     assert run.groupBy("scenario_id", "strategy").count().select("count").distinct().first()[0] == 7
     got = {(r["scenario_id"], r["strategy"]): r for r in pricing.net(run).collect()}
     for s, values in GRID.items():
@@ -284,9 +284,9 @@ def test_scenario_grid(spark):
     expected = {r["strategy"]: r["expected_pnl"] for r in pricing.expected(pricing.net(run)).collect()}
     assert [expected[s] for s in dims.STRATEGIES] == [pytest.approx(0), pytest.approx(-481_917.81, abs=0.01), pytest.approx(-5_850_000)]
     # without dates both delays are listed and cost nothing, the premium included
-    none = pricing.net(pricing.run(timeline.horizon(timeline.build(c), c).withColumn("extension_dates", F.array().cast("array<date>")), inputs))
+    none = pricing.net(pricing.run(timeline.horizon(c).withColumn("extension_dates", F.array().cast("array<date>")), inputs))
     assert {r["net_pnl"] for r in none.where("scenario_id like 'delay%'").collect()} == {0.0}
-    first = timeline.horizon(timeline.build(c), c).withColumn("extension_dates", F.slice("extension_dates", 1, 1))
+    first = timeline.horizon(c).withColumn("extension_dates", F.slice("extension_dates", 1, 1))
     one = pricing.scenarios(first)
     assert one.count() == 6 and one.where("scenario_id = 'delay_first_extension'").first()["probability"] == 0.10
 
