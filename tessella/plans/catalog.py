@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import documents, fields, orders
+from tessella.plans import documents, fields, orders, reading
 
-QUERIES = documents.QUERIES | fields.QUERIES | orders.QUERIES
-ORACLES = documents.ORACLES | fields.ORACLES | orders.ORACLES
+QUERIES = documents.QUERIES | fields.QUERIES | orders.QUERIES | reading.QUERIES
+ORACLES = documents.ORACLES | fields.ORACLES | orders.ORACLES | reading.ORACLES
