@@ -59,7 +59,7 @@ from tessella.llm.components import connect
 WORDS = 4
 PERCENT = 85
 SEEDS = 4
-#: Spare blocks beyond the pigeonhole's need; more make fewer sets unsafe.
+#: Spare blocks beyond the pigeonhole's need, at least; more make fewer sets unsafe.
 SPARE = 4
 #: Keys of each set that the first round of verification looks at.
 FIRST_KEYS = 2
@@ -83,6 +83,18 @@ def level_limits(edges: list[int], percent: int = PERCENT) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def level_blocks(edges: list[int], limits: np.ndarray) -> np.ndarray:
+    """Blocks for each level: the fewest of which a set of the level's lowest size
+    fills more than the limit, but for one in a hundred or so; such sets need one seed."""
+    out = []
+    for low, d in zip(edges, limits.tolist(), strict=True):
+        k = np.arange(d + 1 + SPARE, 2 * d + 10 + SPARE, dtype=float)
+        empty = k * np.exp(-low / k)
+        enough = np.flatnonzero(k - empty - 2.5 * np.sqrt(empty) >= d + 1)
+        out.append(int(k[enough[0]]) if len(enough) else d + 1 + SPARE)
+    return np.array(out, np.int64)
+
+
 def sketch_words(hashes: np.ndarray, rows: np.ndarray, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sketch words of many sets at once: (row, block, word, first) by row and block.
 
@@ -106,6 +118,7 @@ def keys_of(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tu
     most = int(sizes.max(initial=0))
     edges = band_edges(max(most, 1), percent)
     limits = level_limits(edges, percent)
+    blocks = level_blocks(edges, limits)
     band = np.searchsorted(np.array(edges), sizes, side="right") - 1
     every = np.repeat(np.arange(len(sizes)), sizes)
     sets, keys = [], []
@@ -123,7 +136,7 @@ def keys_of(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tu
                 break
             last = seed == SEEDS
             d = limits[np.maximum(level, 0)]
-            k = np.where(left, d + 1 + SPARE, 0)
+            k = np.where(left, blocks[np.maximum(level, 0)], 0)
             inside = left[every]
             owner, block, word, _ = sketch_words(hashes[inside], every[inside], k, min(seed, SEEDS - 1))
             filled = np.bincount(owner, minlength=len(sizes))
@@ -131,10 +144,10 @@ def keys_of(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tu
                 # unsafe under every seed: all words of the last seed, empty ones as 0
                 rows = np.repeat(np.arange(len(sizes)), k)
                 first = np.cumsum(k) - k
-                blocks = np.arange(len(rows)) - first[rows]
+                every_block = np.arange(len(rows)) - first[rows]
                 words = np.zeros(len(rows), np.uint64)
                 words[first[owner] + block] = word
-                owner, block, word = rows, blocks, words
+                owner, block, word = rows, every_block, words
             with np.errstate(over="ignore"):
                 tag = mix(((level[owner].astype(np.uint64) << np.uint64(32)) | block.astype(np.uint64)) + (np.uint64(seed + 1) << np.uint64(56)), 5)
                 sets.append(owner)
