@@ -121,15 +121,6 @@ def structure_class(spark, sf_dir):
     return c.select("document_id", "structure", "confidence", F.array_join("secondary_structures", ",").alias("secondary"), "review_status")
 
 
-def evidence_check(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote_b"))
-    d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    d = d.join(b, "item_id")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 3, 40)).otherwise(F.col("quote_b"))
-    e = text.evidence(quote, text.anchor(quote), F.col("text"))
-    return d.select("doc_id", e.alias("e")).select("doc_id", "e.anchor_intact", "e.found_on_page", "e.ok")
-
-
 def grams(words, n):
     """Hashes of each run of n words."""
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
@@ -161,8 +152,8 @@ def quotes_found(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "item_id", e.alias("e")).select("doc_id", "item_id", "e.anchor_intact", "e.found_on_page", "e.ok").where("found_on_page")
 
 
-def benchmark_quotes(spark, sf_dir):
-    """Every benchmark passage against every document; ``evidence_check`` reads one fixed pair a document."""
+def evidence_check(spark, sf_dir):
+    """Every benchmark passage as a quote against every document."""
     return quotes_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
@@ -181,7 +172,7 @@ def run_estimate(spark, sf_dir):
     return e.select("document_id", "pages", "requests", "input_tokens", F.round("cost_low", 6).alias("cost_low"), F.round("cost_high", 6).alias("cost_high"))
 
 
-QUERIES = {f.__name__: f for f in (page_status, content_dups, dup_severity, readability, inventory_rollup, layer_segments, region_segments, body_pages, structure_scores, structure_class, evidence_check, benchmark_quotes, pack_chunks, run_estimate)}
+QUERIES = {f.__name__: f for f in (page_status, content_dups, dup_severity, readability, inventory_rollup, layer_segments, region_segments, body_pages, structure_scores, structure_class, evidence_check, pack_chunks, run_estimate)}
 
 _PAGES = "p AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pdf_page, text, doc_id % 2 = 0 AS has_images, doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS char_count FROM documents)"
 _STATUS = "CASE WHEN char_count < 10 AND has_images THEN 'image_only' WHEN char_count < 10 THEN 'blank' WHEN char_count < 100 THEN 'sparse' ELSE 'machine_readable' END"
@@ -226,10 +217,7 @@ d AS (SELECT DISTINCT document_id FROM p)
 SELECT document_id, CASE WHEN score IS NULL OR score < 10 THEN 'unknown' ELSE structure END AS structure, CASE WHEN score IS NULL THEN 0.0::DOUBLE WHEN score < 10 THEN round_even(score / 10.0::DOUBLE, 2) ELSE round_even(score::DOUBLE / total, 2) END AS confidence,
 CASE WHEN score >= 10 AND runner > 0 AND score < runner * 1.5 THEN coalesce(secondary, '') ELSE '' END AS secondary, CASE WHEN score IS NULL OR score < 10 OR (runner > 0 AND score < runner * 1.5) THEN 'exception' ELSE 'unreviewed' END AS review_status
 FROM d LEFT JOIN f USING (document_id) LEFT JOIN o USING (document_id)""",
-    "evidence_check": f"""WITH d AS (SELECT doc_id, d.text, CASE WHEN doc_id % 3 = 0 THEN substr(d.text, 3, 40) ELSE b.text END AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
-c AS (SELECT doc_id, {_CANON.format('text')} AS page, {_CANON.format('quote')} AS needle FROM d)
-SELECT doc_id, needle <> '' AS anchor_intact, needle <> '' AND page <> '' AND contains(page, needle) AS found_on_page, needle <> '' AND page <> '' AND contains(page, needle) AS ok FROM c""",
-    "benchmark_quotes": f"""WITH c AS (SELECT doc_id, {_CANON.format('text')} AS page FROM documents), q AS (SELECT item_id, {_CANON.format('text')} AS needle FROM benchmark)
+    "evidence_check": f"""WITH c AS (SELECT doc_id, {_CANON.format('text')} AS page FROM documents), q AS (SELECT item_id, {_CANON.format('text')} AS needle FROM benchmark)
 SELECT doc_id, item_id, true AS anchor_intact, true AS found_on_page, true AS ok FROM c JOIN q ON needle <> '' AND contains(page, needle)""",
     "pack_chunks": """WITH RECURSIVE p AS (SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, floor(length(text) / 2.9)::BIGINT + 1 AS t FROM documents),
 f AS (SELECT document_id, page, 0::BIGINT AS chunk, t AS used, 1::BIGINT AS n FROM p WHERE page = 1

@@ -123,21 +123,14 @@ def corrections(spark, sf_dir):
     return out.select("document_id", "document_layer", "value_num", "currency", "status", "review_status", "extraction_method", "confidence", "printed_page", "evidence_verified")
 
 
-def turn_context(spark, sf_dir, said):
+def qa_context(spark, sf_dir):
+    """The whole text of each turn as a field of its conversation."""
     c = table(spark, sf_dir, "conversations")
+    said = F.col("text")
     rows = field_rows(c, document_id=F.col("conv_id").cast("string"), field_name=F.concat(F.lit("turn"), F.lpad(F.col("turn").cast("string"), 3, "0")), document_layer=F.col("role"), value_text=said, raw_value=said, evidence=said, pdf_page=F.col("turn"), confidence=F.lit(0.5), status=F.when(F.col("role") == "system", "unresolved").otherwise("found"))
     return context.context(rows).select("document_id", "context", "n_fields")
 
 
-def qa_context(spark, sf_dir):
-    return turn_context(spark, sf_dir, F.regexp_replace(F.substring("text", 1, 30), r"\s", "_"))
-
-
-def qa_whole_context(spark, sf_dir):
-    """Like ``qa_context``, with the whole text of each turn."""
-    return turn_context(spark, sf_dir, F.col("text"))
-
-
 def qa_gate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     rows = field_rows(c, document_id=F.col("conv_id").cast("string"), field_name=F.lit("turn"), value_text=F.col("role"), status=F.when(F.col("conv_id") % 3 == 0, "unresolved").otherwise("found"))
@@ -145,7 +138,7 @@ def qa_gate(spark, sf_dir):
     return context.gate(asks, rows).select("document_id", "ask_model", "answer")
 
 
-QUERIES = {f.__name__: f for f in (label_runs, label_gaps, cmp_argmax, reconcile, control_outcomes, record_violations, status_counts, not_applicable, review_items, review_queue, corrections, qa_context, qa_whole_context, qa_gate)}
+QUERIES = {f.__name__: f for f in (label_runs, label_gaps, cmp_argmax, reconcile, control_outcomes, record_violations, status_counts, not_applicable, review_items, review_queue, corrections, qa_context, qa_gate)}
 
 _RUNS = """e AS (SELECT user_id AS document_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pdf_page, CASE WHEN event_id % 11 <> 0 THEN upper(substr(event_type, 1, 2)) END AS series FROM events),
 i AS (SELECT *, pdf_page - row_number() OVER (PARTITION BY document_id, series ORDER BY pdf_page) AS island FROM e),
@@ -176,9 +169,7 @@ CASE WHEN live THEN norm END AS normalization_status, CASE WHEN live THEN NOT no
     "corrections": f"""WITH {_JUDGED}, c AS (SELECT *, document_layer = 'filing-summary' AND doc_id % 4 = 0 AND doc_id % 3 <> 2 AND doc_id % 12 <> 0 AS done FROM j)
 SELECT document_id, document_layer, CASE WHEN done THEN 7e6::DOUBLE ELSE v END AS value_num, CASE WHEN done THEN 'EUR' END AS currency, 'found' AS status, CASE WHEN done THEN 'verified' ELSE review_status END AS review_status, CASE WHEN done THEN 'hybrid' END AS extraction_method,
 CASE WHEN done THEN 1.0::DOUBLE ELSE 0.9 END AS confidence, CASE WHEN done THEN 'A-1' END AS printed_page, CASE WHEN done THEN true END AS evidence_verified FROM c""",
-    "qa_context": f"""WITH r AS (SELECT conv_id, turn, role, regexp_replace(substr(text, 1, 30), '\\s', '_', 'g') AS s FROM conversations WHERE role <> 'system')
-SELECT conv_id::VARCHAR AS document_id, '{context.OPEN}' || chr(10) || string_agg('turn' || lpad(turn::VARCHAR, 3, '0') || ': ' || s || ' | layer ' || role || ' | page ' || turn || ' | confidence 0.50 | "' || s || '"', chr(10) ORDER BY turn, role) || chr(10) || '{context.CLOSE}' AS context, count(*) AS n_fields FROM r GROUP BY 1""",
-    "qa_whole_context": f"""WITH r AS (SELECT conv_id, turn, role, replace(replace(text, '{context.CLOSE}', 'fields> > >'), chr(10), ' ') AS s FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
+    "qa_context": f"""WITH r AS (SELECT conv_id, turn, role, replace(replace(text, '{context.CLOSE}', 'fields> > >'), chr(10), ' ') AS s FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
 SELECT conv_id::VARCHAR AS document_id, '{context.OPEN}' || chr(10) || string_agg('turn' || lpad(turn::VARCHAR, 3, '0') || ': ' || s || ' | layer ' || role || ' | page ' || turn || ' | confidence 0.50 | "' || s || '"', chr(10) ORDER BY turn, role) || chr(10) || '{context.CLOSE}' AS context, count(*) AS n_fields FROM r GROUP BY 1""",
     "qa_gate": f"SELECT DISTINCT conv_id::VARCHAR AS document_id, conv_id % 3 <> 0 AS ask_model, CASE WHEN conv_id % 3 = 0 THEN '{context.NOTHING}' END AS answer FROM conversations",
 }
