@@ -287,6 +287,21 @@ def test_repeat_removal_with_hot_grams(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_only_strings_that_can_stand_elsewhere_reach_the_arrays():
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = letters(repeats.LENGTH - 10)
+    texts = [letters(60) + line + letters(60) for _ in range(30)]  # one line of less than LENGTH bytes
+    texts += [letters(60) + line + letters(10) + letters(40), letters(60)]
+    texts[-1] += texts[-2][60 : 60 + repeats.LENGTH + 5] + letters(60)  # and one string that two texts hold
+    first = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts})
+    sent = pa.Table.from_batches(repeats._anchor_rows(1, 1)(iter([first]))).sort_by("kind").to_batches()
+    rows = [r for b in repeats._context_rows(1, 1)(iter(sent)) for r in b.to_pylist() if r["kind"] == 2]
+    kinds = [np.dtype(x) for x in repeats._EDGE]
+    docs_ = [np.frombuffer(r["blob"], kinds[0], len(r["blob"]) // sum(x.itemsize for x in kinds)) for r in rows]
+    assert set(np.concatenate(docs_).tolist()) == {30, 31}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 90), st.integers(0, 2**32))
 def test_linked_sets_share_a_key(size, seed):
