@@ -32,6 +32,10 @@ cannot link before anything leaves the task. Of the rest, three rounds verify
 each set with a leader of the groups of its smallest keys, then just enough pairs to join what is
 still apart, and at last every pair that is still apart and may link; so no link
 that matters to a component is lost, and links inside a component are not listed.
+Near copies share a large part of their keys and meet in that many groups. Each set
+brings its ``LOW_KEYS`` smallest keys along: sets with one smallest key are joined in
+that key's group only, and at last a pair is told by no key above a shared one of
+these. So the pairs of a group do not multiply by the keys that it shares.
 
 Edge cases: texts with fewer words than a shingle have one, the whole sequence; null,
 empty and blank texts have an empty set and link with nothing. Very long texts
@@ -63,6 +67,8 @@ SEEDS = 4
 SPARE = 4
 #: Keys of each set that the first round of verification looks at.
 FIRST_KEYS = 2
+#: Smallest keys of each set that tell in which group a pair has its turn.
+LOW_KEYS = 16
 
 
 def band_edges(most: int, percent: int = PERCENT) -> list[int]:
@@ -235,8 +241,13 @@ def _leaders(rep: np.ndarray, words: np.ndarray, sizes: np.ndarray, percent: int
         leaders.append(i)
 
 
-def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndarray, forest: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs across components that may link: all, or just enough to join what they can join."""
+def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndarray, earlier: list[list[int]], forest: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs across components that may link: all, or just enough to join what they can join.
+
+    ``earlier`` are keys of each set below the group's own, in order. Of all pairs those
+    that share one have their turn there; to join them, sharing the first one suffices,
+    as what stays apart comes up again among all pairs.
+    """
     parent = {c: c for c in set(comp.tolist())}
 
     def root(c: int) -> int:
@@ -245,8 +256,17 @@ def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndar
             c = parent[c]
         return c
 
+    if forest:
+        first: dict[int, int] = {}
+        for c, keys in zip(comp.tolist(), earlier, strict=True):
+            if keys:
+                parent[root(c)] = root(first.setdefault(keys[0], c))
+        comp = np.array([root(c) for c in comp.tolist()])
+    had = [set(keys) for keys in earlier]
     for i in range(1, len(rep)):
         before = np.flatnonzero(comp[:i] != comp[i])
+        if not len(before):
+            continue
         good, far = _close(words, sizes, i, before, percent)
         for j in before[good][np.argsort(far[good], kind="stable")].tolist():
             if forest:
@@ -254,6 +274,8 @@ def _across(rep: np.ndarray, comp: np.ndarray, words: np.ndarray, sizes: np.ndar
                 if a == b:
                     continue
                 parent[a] = b
+            elif not had[i].isdisjoint(had[j]):
+                continue
             yield int(rep[j]), int(rep[i])
 
 
@@ -261,14 +283,15 @@ def _group_pairs(batches: Iterator[pa.RecordBatch], mode: str, percent: int) ->
     """Candidate pairs of each key's sets, from rows sorted by key and set."""
     import itertools
 
-    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "rep", "comp", "n", "sketch")), strict=True))
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "rep", "comp", "n", "sketch", "lows")), strict=True))
     told: set[tuple[int, int]] = set()
-    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-        _, rep, comp, n, sketch = zip(*group, strict=True)
+    for key, group in itertools.groupby(rows, key=lambda r: r[0]):
+        _, rep, comp, n, sketch, lows = zip(*group, strict=True)
         if len(rep) < 2:
             continue
         reps, comps, sizes, words = np.array(rep), np.array(comp), np.array(n), _folded(list(sketch))
-        told.update(_leaders(reps, words, sizes, percent) if mode == "leaders" else _across(reps, comps, words, sizes, mode == "forest", percent))
+        earlier = [[k for k in x if k < key] for x in lows]
+        told.update(_leaders(reps, words, sizes, percent) if mode == "leaders" else _across(reps, comps, words, sizes, earlier, mode == "forest", percent))
         if len(told) > 1 << 16:
             yield _pair_batch(told)
             told = set()
@@ -326,6 +349,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = (key[-1], rep[-1]), last_out
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows with all of a key in one task, sorted by key and set.
+
+    They are dealt by an expression that no join deals by: after a join on the key, a
+    plain repartition by it is left out of the plan, and the adaptive plan may then
+    read that join's shuffle in pieces that split a key.
+    """
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", "rep")
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         xa, na = _flat(b.column("sa"))
@@ -375,21 +408,22 @@ def _link(base: DataFrame, words: int, percent: int, most: int = 1) -> DataFrame
     # components, at first only as far as needed to join them, at last completely
     # the smallest keys of a set are a min-hash of its keys: copies share them, so the
     # first round looks only there, and the later rounds at every group
-    firsts = groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("keys")).select("rep", F.explode("keys").alias("key"))
+    lows = materialise(groups.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOW_KEYS).alias("lows")).select(F.col("rep").alias("low_rep"), "lows"), "jaccard-lows")
+    firsts = lows.select(F.col("low_rep").alias("rep"), F.explode(F.slice("lows", 1, FIRST_KEYS)).alias("key"))
     for mode in ("leaders", "forest", "all"):
         seen = firsts if mode == "leaders" else groups
         tagged = seen.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
         spread = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("open_key"))
         open_rows = tagged.join(spread, F.col("key") == F.col("open_key"), "left_semi")
-        full_rows = open_rows.join(sketched, F.col("rep") == F.col("id")).select("key", "rep", "comp", "n", "sketch")
-        pairs = full_rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda it, m=mode: _group_pairs(it, m, percent), "a long, b long").distinct()
+        full_rows = open_rows.join(sketched, F.col("rep") == F.col("id")).join(lows, F.col("rep") == F.col("low_rep")).select("key", "rep", "comp", "n", "sketch", "lows")
+        pairs = _by_key(full_rows).mapInArrow(lambda it, m=mode: _group_pairs(it, m, percent), "a long, b long").distinct()
         left = members.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
         right = members.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         full = pairs.join(left, "a").join(right, "b")
         verified = materialise(full.select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "jaccard-links")
         found = found.unionByName(verified)
         labels = connect(found)
-    discard(groups, members)
+    discard(groups, members, lows)
     classed = classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("label", "rep").alias("comp"))
     out = digests.join(classed, (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -317,6 +317,39 @@ def test_linked_sets_share_a_key(size, seed):
         assert jaccard_join._close(words_, np.array([size, len(b)]), 0, np.array([1]))[0].all()
 
 
+def test_pairs_do_not_multiply_by_shared_keys():
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 115, replace=False), rng.integers(0, 1 << 63, 4, dtype=np.uint64)]) for _ in range(60)]
+    held = [sorted(rng.choice(40, 12, replace=False).tolist()) for _ in sets]  # keys that near copies share
+    words_, sizes = jaccard_join._folded([jaccard_join.bit_sketch(x) for x in sets]), np.array([len(x) for x in sets])
+    comp = [i // 2 * 2 for i in range(60)]
+    close = {(j, i) for i in range(60) for j in range(i) if comp[i] != comp[j] and set(held[i]) & set(held[j]) and jaccard_join._close(words_, sizes, i, np.array([j]))[0][0]}
+    assert len(close) > 300
+    told = {}
+    for mode in ("forest", "all"):
+        told[mode] = []
+        for key in range(40):  # each in a task of its own
+            rows = [{"key": key, "rep": i, "comp": comp[i], "n": len(sets[i]), "sketch": jaccard_join.bit_sketch(sets[i]), "lows": held[i]} for i in range(60) if key in held[i]]
+            told[mode] += [(r["a"], r["b"]) for b in jaccard_join._group_pairs(iter([pa.RecordBatch.from_pylist(rows)]), mode, 85) for r in b.to_pylist()]
+    assert sorted(told["all"]) == sorted(close)  # each once
+    assert set(told["forest"]) <= close and len(told["forest"]) <= 4 * 60
+    # fewer low keys than keys: more than once at most, never lost
+    few = []
+    for key in range(40):
+        rows = [{"key": key, "rep": i, "comp": comp[i], "n": len(sets[i]), "sketch": jaccard_join.bit_sketch(sets[i]), "lows": held[i][:3]} for i in range(60) if key in held[i]]
+        few += [(r["a"], r["b"]) for b in jaccard_join._group_pairs(iter([pa.RecordBatch.from_pylist(rows)]), "all", 85) for r in b.to_pylist()]
+    assert set(few) == close
+
+
+def test_no_key_is_split_between_tasks(spark):
+    rows = spark.range(4000).select((F.col("id") % 50).alias("key"), F.col("id").alias("rep"))
+    wide = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("key").alias("open_key"))
+    met = rows.join(wide.hint("merge"), F.col("key") == F.col("open_key"), "left_semi")  # dealt by key already
+    # the rows are dealt once more, by an exchange that the adaptive plan never reads in pieces
+    assert "REPARTITION_BY_COL" in jaccard_join._by_key(met)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, j) for j in range(501, 540)]
