@@ -302,6 +302,46 @@ def test_only_strings_that_can_stand_elsewhere_reach_the_arrays():
     assert set(np.concatenate(docs_).tolist()) == {30, 31}
 
 
+def test_the_array_takes_equal_strings_once(monkeypatch):
+    rng = np.random.default_rng(18)
+    laid: list[int] = []
+    array = repeats.suffix_array
+    monkeypatch.setattr(repeats, "suffix_array", lambda text, depth: laid.append(len(text)) or array(text, depth))
+    for length, letters, texts, n in [(5, 2, 1, 25), (4, 2, 3, 25), (7, 3, 2, 8), (5, 2, 1, 0)] * 20:
+        pieces = [rng.integers(97, 97 + letters, rng.integers(0, 30)).astype(np.uint8).tobytes() for _ in range(n)]
+        pieces += [pieces[i] for i in rng.integers(0, max(n, 1), min(n, 9))]
+        doc = rng.integers(0, 12, len(pieces))
+        held = defaultdict(set)
+        for d, x in zip(doc.tolist(), pieces, strict=True):
+            for i in range(len(x) - length + 1):
+                held[x[i : i + length]].add(d // texts)
+        want = sorted((k, i) for k, (d, x) in enumerate(zip(doc.tolist(), pieces, strict=True)) for i in range(len(x) - length + 1) if d // texts > min(held[x[i : i + length]]))
+        assert sorted(zip(*(x.tolist() for x in repeats.repeated_strings(doc, pieces, length, texts)), strict=True)) == want
+    # a line that very many documents hold, beside strings that only one holds, costs one copy of what they share
+    line = rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+    pieces = [line, line + b"a", line + b"b"] * 300 + [rng.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(100)]
+    laid.clear()
+    piece, offset = repeats.repeated_strings(np.arange(len(pieces)), pieces)
+    want = {(i, k) for i in range(1, 900) for k in range(len(pieces[i]) - repeats.LENGTH + 1)} - {(1, 11), (2, 11)}
+    assert set(zip(piece.tolist(), offset.tolist(), strict=True)) == want and len(piece) == len(want)
+    assert sum(laid) <= 60
+
+
+def test_shards_of_a_task_hand_on_together():
+    rng = random.Random(19)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [letters(600) for _ in range(40)]
+    texts += [x[:300] + letters(300) for x in texts]
+    shards = 64
+    first = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts})
+    # each document in a batch of its own, so that nothing is decided before the shards
+    sent = pa.Table.from_batches([b for i in range(len(texts)) for b in repeats._anchor_rows(shards, 1)(iter([first.slice(i, 1)]))])
+    rows = [r for b in repeats._context_rows(shards, 1)(iter(sent.sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches())) for r in b.to_pylist()]
+    for kind in (1, 2):
+        found = [r["bucket"] for r in rows if r["kind"] == kind]
+        assert found and len(found) == len(set(found))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 90), st.integers(0, 2**32))
 def test_linked_sets_share_a_key(size, seed):
